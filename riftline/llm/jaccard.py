@@ -6,7 +6,7 @@ become keys. Sets that share a key form a tile. In a tile, sizes that exclude ea
 overlap from above, and what is left is intersected exactly as sorted arrays.
 
 Identical sets are one node. Since the result is components, pairs of nodes already connected are skipped: star rounds
-compare each node with one pivot of its tiles, and only keys whose nodes are still in different components go to the
+compare each node with a few pivots of its tiles, and only keys whose nodes are still in different components go to the
 last pass, which compares all pairs of such keys across components, in blocks. So no link between different texts is lost, and a
 group of near copies costs its size, not its square.
 
@@ -29,7 +29,8 @@ PERCENT = 80
 #: Counters of the rarity order. Only the order of keys depends on them, never a result.
 COUNTERS, BLOCK = 1 << 18, 1 << 12
 BATCH_BYTES = 1 << 20
-STAR_ROUNDS = 2
+#: Pivots of a key in each star round.
+STAR_ROUNDS = (1, 4, 4, 4)
 #: Nodes of a key, or members of a star, that are compared in one group.
 TILE = 64
 
@@ -48,7 +49,7 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def rarity(docs: DataFrame, k: int) -> np.ndarray:
-    """A class for each counter: 0 where the counter is about average, else the power of two by which it is above it."""
+    """A class for each counter, higher for higher counts: eighths of a power of two against the average."""
 
     def count(batches):
         n = np.zeros(COUNTERS, np.int64)
@@ -70,14 +71,14 @@ def rarity(docs: DataFrame, k: int) -> np.ndarray:
     n = np.zeros(COUNTERS, np.int64)
     for row in docs.select("text").mapInArrow(count, "block int, counts binary").repartition(min(COUNTERS // BLOCK, shuffle_partitions(docs.sparkSession)), "block").mapInArrow(add, "block int, counts binary").collect():
         n[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], "<i8")
-    return np.floor(np.log2(np.maximum(1, n / (2 * max(1.0, n.mean()))))).astype(np.int8)
+    return np.clip(np.round(8 * np.log2(np.maximum(1, n) / max(1.0, n.mean()))), -100, 100).astype(np.int8)
 
 
 def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
     n = len(s)
     length = n - -(-percent * n // 100) + 1 if n else 0
     kind = order[(s & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    return (s[np.lexsort((s, kind))] if kind.any() else s)[:length]
+    return s[np.lexsort((s, kind))[:length]]
 
 
 def signatures(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
@@ -243,14 +244,34 @@ def across(keys: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     tiles = tiles.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label").join(nodes.select("node", "n", "bitmap"), "node")
 
     def compare(rows):
-        rows = sorted(rows, key=lambda r: r[2])
-        for y in range(1, len(rows)):
-            node, label, n, bits = rows[y]
-            for x in range(y - 1, -1, -1):
-                if rows[x][2] * 100 < n * percent:
-                    break  # the rest is smaller still
-                if rows[x][1] != label and (100 + percent) * overlap_bound(rows[x][3], rows[x][2], bits, n) >= percent * (n + rows[x][2]):
-                    yield max(node, rows[x][0]), min(node, rows[x][0])
+        """Pairs of one tile, whose rows are sorted by size; each bitmap is folded to the narrower width of its pair."""
+        size = np.array([r[2] for r in rows])
+        label = np.array([r[1] for r in rows])
+        by_width: dict[int, list[int]] = {}
+        for i, r in enumerate(rows):
+            by_width.setdefault(len(r[3]), []).append(i)
+        bits = {w: np.frombuffer(b"".join(rows[i][3] for i in at), np.uint64).reshape(len(at), -1) for w, at in by_width.items()}
+        for w, at in by_width.items():
+            for v, other in by_width.items():
+                if v < w or v > 2 * w:
+                    continue
+                x, y = bits[w], bits[v]
+                if v > w:
+                    y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+                n_x, n_y = size[at][:, None], size[other][None, :]
+                fits = (np.minimum(n_x, n_y) * 100 >= np.maximum(n_x, n_y) * percent) & (label[at][:, None] != label[other][None, :])
+                if v == w:
+                    fits = np.triu(fits, 1)
+                i, j = np.nonzero(fits)
+                for k in range(0, len(i), 4096):
+                    p, q = i[k : k + 4096], j[k : k + 4096]
+                    both = x[p] & y[q]
+                    lost_x = np.bitwise_count(x[p] ^ both).sum(1, dtype=np.int64)
+                    lost_y = np.bitwise_count(y[q] ^ both).sum(1, dtype=np.int64)
+                    bound = np.minimum(n_x[p, 0] - lost_x, n_y[0, q] - lost_y)
+                    for r in np.flatnonzero((100 + percent) * bound >= percent * (n_x[p, 0] + n_y[0, q])).tolist():
+                        one, two = rows[at[p[r]]][0], rows[other[q[r]]][0]
+                        yield max(one, two), min(one, two)
 
     def run(batches):
         held, of = [], None
@@ -258,7 +279,8 @@ def across(keys: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
             found = []
             for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "label", "n", "bitmap")), strict=True):
                 if (key, i, j) != of:
-                    found += compare(held)
+                    if len(held) > 1:
+                        found += compare(held)
                     held, of = [], (key, i, j)
                 held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
@@ -287,23 +309,29 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     nodes = written(own.join(firsts, ["node", "least_id"], "left_semi").dropDuplicates(["node"]), "nodes")
     texts = written(docs.select(F.col("doc_id").cast("long").alias("least_id"), "text").join(firsts, "least_id").select("node", "text"), "texts")
 
-    labels, links, open_keys = None, None, keys.withColumn("label", F.col("node"))
-    for turn in range(STAR_ROUNDS + 1):
-        if turn < STAR_ROUNDS:
-            # The pivot of a key is its node of the smallest hash; each node is compared with one pivot of another component.
-            rank = F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "label")
-            pivots = open_keys.groupBy("key").agg(F.min(rank).alias("p"))
-            pairs = open_keys.join(pivots, "key").where("label != p.label").groupBy("node").agg(F.min("p").alias("p"))
-            pairs = pairs.select(F.col("node").alias("a"), F.col("p.node").alias("b"))
+    labels, open_keys = None, keys.withColumn("label", F.col("node"))
+    for turn, pivots in enumerate((*STAR_ROUNDS, 0)):
+        if pivots:
+            # A pivot of a key is its node of the smallest hash, by another hash for each pivot. Each node is compared with a few pivots of other components.
+            rank = lambda p, turn=turn: F.struct(F.xxhash64(F.lit(turn), F.lit(p), "node").alias("h"), "node", "label")
+            chosen = open_keys.groupBy("key").agg(*[F.min(rank(p)).alias(f"p{p}") for p in range(pivots)])
+            met = open_keys.join(chosen, "key").groupBy("node").agg(*[F.min(F.when(F.col("label") != F.col(f"p{p}.label"), F.col(f"p{p}"))).alias(f"p{p}") for p in range(pivots)])
+            pairs = met.select(F.col("node").alias("a"), F.explode(F.array(*[F.col(f"p{p}.node") for p in range(pivots)])).alias("b")).where("b IS NOT NULL").distinct()
+            found = verified(bounded(pairs, nodes, percent), texts, k, percent)
         else:
-            pairs = across(open_keys, nodes, percent)
-        if turn < STAR_ROUNDS:
-            pairs = bounded(pairs, nodes, percent)
-        found = verified(pairs, texts, k, percent)
-        links = written(found if links is None else links.union(found), "links")
-        labels = components(links)
-        if turn < STAR_ROUNDS:
-            marked = keys.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
+            found = verified(across(open_keys, nodes, percent), texts, k, percent)
+        if labels is None:
+            labels = components(found)
+        else:  # links between components are few: join those, then rename
+            of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
+            named = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+            named = named.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a != b").distinct()
+            again = components(named)
+            loose = again.join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_anti")
+            renamed = labels.join(again.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+            labels = written(renamed.unionByName(loose), "labels")
+        if pivots:
+            marked = open_keys.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
             mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
             open_keys = written(marked.join(mixed, "key", "left_semi").distinct(), "open")
             if not open_keys.limit(1).count():
