@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftline.llm import jaccard, langid, mixing, packing
+from riftline.llm import jaccard, langid, mixing, packing, pii
 from riftline.llm.common import table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,6 +24,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
 
 
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """PII replaced by surrogates; n_chars follows the text."""
+    out = pii.surrogates(docs.select(*COLUMNS))
+    return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.expand(mixing.mix(docs.select(*COLUMNS)), COLUMNS)
 
@@ -34,7 +40,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("mix", mix), ("pack", pack)]
+STAGES = [("language", language), ("near_duplicates", near_duplicates), ("pii", private), ("mix", mix), ("pack", pack)]
 
 #: SQL can express neither the language model nor the tokenizer.
 ORACLE_SQL = None
