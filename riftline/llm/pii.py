@@ -43,7 +43,8 @@ def _shift(key: int, so_far: Column) -> Column:
 
 
 def _moved(value: Column, low: int, size: int, by: Column) -> Column:
-    return F.lit(low) + F.pmod(value - low + F.pmod(by, F.lit(size)), F.lit(size))
+    """Another member of the class, never the same one."""
+    return F.lit(low) + F.pmod(value - low + 1 + F.pmod(by, F.lit(size - 1)), F.lit(size))
 
 
 def _cipher(text: Column, key: int, hexadecimal: bool = False) -> Column:
