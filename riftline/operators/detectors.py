@@ -193,14 +193,16 @@ class ChangeFinder(Detector):
         self.first, self.second = [], []
 
     def _loss(self, s: dict, x: float) -> float:
+        """Minus the log density of x as foreseen before x, then discounted learning."""
         r = self.r
+        guess = s["mu"] + (s["c1"] / s["c0"] if s["c0"] > 1e-12 else 0.0) * (s["last"] - s["mu"])
+        loss = 0.5 * math.log(2 * math.pi * s["var"]) + (x - guess) ** 2 / (2 * s["var"])
         s["mu"] += r * (x - s["mu"])
         a, b = x - s["mu"], s["last"] - s["mu"]
         s["c0"], s["c1"] = (1 - r) * s["c0"] + r * a * a, (1 - r) * s["c1"] + r * a * b
-        guess = s["mu"] + (s["c1"] / s["c0"] if s["c0"] > 1e-12 else 0.0) * b
         s["var"] = max((1 - r) * s["var"] + r * (x - guess) ** 2, 1e-12)
         s["last"] = x
-        return 0.5 * math.log(2 * math.pi * s["var"]) + (x - guess) ** 2 / (2 * s["var"])
+        return loss
 
     def alarm(self, x):
         self.first = (self.first + [self._loss(self.stages[0], x)])[-self.smooth :]

@@ -8,23 +8,31 @@ from pyspark.sql.window import Window
 
 from riftline.functions.exprs import clamp_std
 
-by = Window.partitionBy("series_id")
-ordered = by.orderBy("t")
-so_far = ordered.rowsBetween(Window.unboundedPreceding, 0)
+
+def by():
+    return Window.partitionBy("series_id")
+
+
+def ordered():
+    return by().orderBy("t")
+
+
+def so_far():
+    return ordered().rowsBetween(Window.unboundedPreceding, 0)
 
 
 def ahead(w: int):
-    return ordered.rowsBetween(0, w - 1)
+    return ordered().rowsBetween(0, w - 1)
 
 
 def squared_step() -> Column:
-    d = F.col("value") - F.lag("value").over(ordered)
+    d = F.col("value") - F.lag("value").over(ordered())
     return F.coalesce(d * d, F.lit(0.0))
 
 
 def prefix_sums(series: DataFrame) -> DataFrame:
     stepped = series.withColumn("step", squared_step())
-    return stepped.select("series_id", "t", F.sum("value").over(so_far).alias("csum"), F.sum(F.col("value") * F.col("value")).over(so_far).alias("csumsq"), F.sum("step").over(so_far).alias("dcsum"))
+    return stepped.select("series_id", "t", F.sum("value").over(so_far()).alias("csum"), F.sum(F.col("value") * F.col("value")).over(so_far()).alias("csumsq"), F.sum("step").over(so_far()).alias("dcsum"))
 
 
 def subsequences(series: DataFrame, w: int) -> DataFrame:
@@ -57,7 +65,7 @@ def count_windows(series: DataFrame, size: int) -> DataFrame:
 
 def gains(series: DataFrame, width: int) -> DataFrame:
     """Gain of splitting the 2 * width points that end at t in half, for the costs that frames express."""
-    both, left, right = ordered.rowsBetween(1 - 2 * width, 0), ordered.rowsBetween(1 - 2 * width, -width), ordered.rowsBetween(1 - width, 0)
+    both, left, right = ordered().rowsBetween(1 - 2 * width, 0), ordered().rowsBetween(1 - 2 * width, -width), ordered().rowsBetween(1 - width, 0)
     var = lambda f: F.var_pop("value").over(f)
     rows = series.select("series_id", "t", F.count("*").over(both).alias("n"), var(both).alias("v"), var(left).alias("a"), var(right).alias("b")).where(F.col("n") == 2 * width)
     log = lambda c: F.log(F.greatest(F.col(c), F.lit(1e-12)))
@@ -65,16 +73,16 @@ def gains(series: DataFrame, width: int) -> DataFrame:
 
 
 def page_hinkley(series: DataFrame, delta: float = 0.005) -> DataFrame:
-    mean = series.withColumn("mean", F.avg("value").over(so_far))
-    cum = mean.withColumn("cum", F.sum(F.col("value") - F.col("mean") - delta).over(so_far))
-    return cum.select("series_id", "t", (F.col("cum") - F.min("cum").over(so_far)).alias("ph"))
+    mean = series.withColumn("mean", F.avg("value").over(so_far()))
+    cum = mean.withColumn("cum", F.sum(F.col("value") - F.col("mean") - delta).over(so_far()))
+    return cum.select("series_id", "t", (F.col("cum") - F.min("cum").over(so_far())).alias("ph"))
 
 
 def drift_statistics(series: DataFrame) -> DataFrame:
     """Running mean p, its deviation s, and the smallest p + s so far, of values scaled to [0, 1]."""
-    scaled = series.select("series_id", "t", ((F.col("value") - F.min("value").over(by)) / F.greatest(F.max("value").over(by) - F.min("value").over(by), F.lit(1e-12))).alias("x"))
-    p = scaled.withColumn("p", F.avg("x").over(so_far)).withColumn("s", F.sqrt(F.greatest(F.col("p") * (1 - F.col("p")), F.lit(0.0)) / (F.col("t") + 1)))
-    return p.select("series_id", "t", "p", "s", F.min(F.col("p") + F.col("s")).over(so_far).alias("least"))
+    scaled = series.select("series_id", "t", ((F.col("value") - F.min("value").over(by())) / F.greatest(F.max("value").over(by()) - F.min("value").over(by()), F.lit(1e-12))).alias("x"))
+    p = scaled.withColumn("p", F.avg("x").over(so_far())).withColumn("s", F.sqrt(F.greatest(F.col("p") * (1 - F.col("p")), F.lit(0.0)) / (F.col("t") + 1)))
+    return p.select("series_id", "t", "p", "s", F.min(F.col("p") + F.col("s")).over(so_far()).alias("least"))
 
 
 def hoeffding_bounds(series: DataFrame, confidence: float = 1e-3) -> DataFrame:

@@ -21,7 +21,7 @@ def in_order(series: DataFrame, start: Callable, schema: str) -> DataFrame:
     Arrow batch, never a whole series."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of, update, finish, names = None, None, None, None
+        of, update, finish = None, None, None
         for pdf in batches:
             rows = []
             for series_id, t, value in zip(pdf["series_id"], pdf["t"], pdf["value"], strict=True):
@@ -88,11 +88,11 @@ def segment_stream(points: DataFrame, latest_only: bool = False, **config) -> Da
 
 def replay_events(spark: SparkSession, path: str, checkpoint: str | None = None, **config) -> DataFrame:
     """The events table as a stream, to its end; its change points as a table in the shared folder."""
-    from pyspark.sql.types import StructType
-
-    schema = StructType.fromDDL("event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string")
-    schema = spark.read.parquet(path).schema or schema
-    points = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).where("value IS NOT NULL")
+    rows = spark.read.parquet(path)
+    reader = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    one_file = [f for f in rows.inputFiles() if f.endswith(f"/{name}")]  # a stream reads folders
+    points = (reader.option("pathGlobFilter", name).parquet(folder) if one_file else reader.parquet(path)).where("value IS NOT NULL")
     points = points.select(F.col("event_type").alias("series_id"), F.struct("ts", "event_id").alias("_o"), "value").select("series_id", F.concat_ws("|", F.date_format("_o.ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lpad(F.col("_o.event_id").cast("string"), 20, "0")).alias("at"), "value")
     base = checkpoint or f"{_shared(spark)}/stream-{uuid.uuid4().hex}"
     query = segment_stream(points, **config).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
