@@ -1,0 +1,250 @@
+"""The corpus operators against brute force and contracts on small tables, with nulls, empty and long texts, repeats, empty tables and clashing columns."""
+
+import collections
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from riftline.llm import ann, html, jaccard, langid, licenses, mixing, packing, pii, quality, rules
+from riftline.llm.common import table
+
+SF = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0d]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, n_words long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, lang, source, len(t or ""), 1, 0.5, 2) for i, t, lang, source in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rnd = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta", "eta", "theta", "iota", "kappa", "lambda", "mu"]
+    base = [rnd.choice(words) + str(rnd.randrange(50)) for _ in range(200)]
+    rows = [(1, None, None, None), (2, "", "en", "a"), (3, " \n\t", "en", "b"), (4, "one two", "en", "c"), (5, "ONE two", "en", None), (6, "### 123", None, "a")]
+    rows += [(10 + i, " ".join(base[:i] + base[i + 1 :]), "en", "a") for i in range(12)]
+    rows += [(40, " ".join(base), "en", "b"), (40, " ".join(base), "en", "b"), (41, " ".join(rnd.choice(words) for _ in range(30000)), "en", "hot")]
+    rows += [(50 + i, " ".join(rnd.choice(words) + str(rnd.randrange(50)) for _ in range(40)), "de", "hot") for i in range(30)]
+    return docs(spark, rows)
+
+
+def shingles(text):
+    words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in WORD.findall(text or "")]
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else ({tuple(words)} if words else set())
+
+
+def brute_components(rows):
+    sets = [(i, shingles(t)) for i, t in rows]
+    label = list(range(len(sets)))
+    for x in range(len(sets)):
+        for y in range(x):
+            a, b = sets[x][1], sets[y][1]
+            if a and b and 100 * len(a & b) >= 80 * len(a | b):
+                old, new = label[x], label[y]
+                label = [new if v == old else v for v in label]
+    return sorted((sets[k][0], len(sets[k][1]), min(sets[j][0] for j in range(len(sets)) if label[j] == label[k])) for k in range(len(sets)))
+
+
+def test_jaccard_equals_brute_force(spark, odd):
+    got = sorted(map(tuple, jaccard.jaccard_components(odd).collect()))
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in odd.collect()])
+
+
+def test_jaccard_last_pass_equals_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setattr(jaccard, "STAR_ROUNDS", ())
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    got = sorted(map(tuple, jaccard.jaccard_components(odd).collect()))
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in odd.collect()])
+
+
+def test_bitmap_bound_is_never_below_the_overlap():
+    from riftline.llm import shingles as sh
+
+    rs = np.random.RandomState(0)
+    for n in (1, 5, 300, 700):
+        a = np.unique(rs.randint(0, 2000, n).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        b = np.unique(rs.randint(0, 2000, n + n // 4).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        assert sh.overlap_bound(sh.bitmap(a), len(a), sh.bitmap(b), len(b)) >= len(np.intersect1d(a, b))
+
+
+def test_html(spark):
+    page = """<html><head><title>T</title><style>x</style></head><body><header><p>Site</p></header><nav><ul><li><a href=/>Home</a></ul></nav>
+    <div class="cookie-notice">We use cookies on this site to make it better for all of you.</div><main><article><h1>The &amp; Title</h1><p>First   para<br>with break &lt;b&gt;.
+    <p>Second <script>var a = "</p>";</script>one.<aside>Related things you may like a lot today</aside><p>Short.</p></article>
+    <section id="comments"><p>I think this article is wonderful and long enough to look like text.</p></section></main>
+    <form><label>Mail</label></form><footer>&copy; 2020</footer>"""
+    rows = spark.createDataFrame([(1, "u", page, "old"), (2, "u", None, "x"), (3, "u", "", "x"), (4, "u", "<p", "x")], "page_id long, url string, html string, text string")
+    got = {r["page_id"]: r["text"] for r in html.extract(rows).collect()}
+    assert got[1] == "The & Title\nFirst para with break <b>.\nSecond one.\nShort."
+    assert got[2] == got[3] == ""
+
+
+def test_mixing(spark, odd):
+    out = mixing.mix(odd.drop("size")).collect()
+    by = collections.defaultdict(list)
+    for r in out:
+        assert 0 <= r["copies"] <= 3 and r["size"] == len(WORD.findall(r["text"] or ""))
+        by[r["source"]].append(r)
+    total = sum(r["size"] for r in out)
+    assert sum(x[0]["target"] for x in by.values()) == pytest.approx(total)
+    assert all(x[0]["target"] <= 3 * x[0]["source_size"] + 1e-9 for x in by.values())
+    assert mixing.mix(odd.limit(0).drop("size")).count() == 0
+
+
+def test_packing_is_a_gapless_partition_of_all_ids(spark, odd):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    source = odd.union(docs(spark, [(90, "It's <|endoftext|> İstanbul é Σς don't", "en", "a")]))
+    pieces = [r.asDict() for r in packing.pack(source, path, with_ids=True).collect()]
+    want = collections.Counter(tuple([*plain.encode(r["text"] or "", add_special_tokens=False).ids, 2]) for r in source.collect())
+    by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
+    for p in pieces:
+        assert p["length"] == len(p["ids"]) and p["ids_crc32"] == zlib.crc32(np.array(p["ids"], "<u4").tobytes())
+        by_doc[p["doc_id"], p["doc_tokens"]].append(p)
+        by_sequence[p["sequence_id"]].append(p)
+    for (doc, n), own in by_doc.items():
+        if doc != 40:
+            own.sort(key=lambda p: p["start"])
+            assert [p["start"] for p in own] == [sum(q["length"] for q in own[:i]) for i in range(len(own))]
+            assert want[tuple(x for p in own for x in p["ids"])] >= 1 and sum(p["length"] for p in own) == n
+    for own in by_sequence.values():
+        own.sort(key=lambda p: p["offset"])
+        assert [p["offset"] for p in own] == [sum(q["length"] for q in own[:i]) for i in range(len(own))]
+        size = sum(p["length"] for p in own)
+        assert size == 4096 or size & (size - 1) == 0
+    assert packing.pack(source.limit(0), path).count() == 0
+
+
+def test_language(spark, odd):
+    d = table(spark, SF, "documents")
+    model = langid.train(d.where(~langid.held_out(d["doc_id"])))
+    out = langid.predict(d, model).where("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in out]) > 0.97
+    got = {r["doc_id"]: r for r in langid.predict(odd, model).collect()}
+    assert [got[i]["lang_pred"] for i in (1, 2, 3, 6)] == ["und"] * 4 and got[1]["score"] == 0.0
+    assert langid.predict(odd, langid.train(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
+
+
+def test_code_lengths_are_escapes_and_shares():
+    counts = np.zeros((langid.SYMBOLS,) * 4, np.int64)
+    counts[1, 1, 1, 2] = 3
+    bits = langid.code_lengths(counts.reshape(-1)).reshape(counts.shape)
+    assert bits[1, 1, 1, 2] == pytest.approx(-np.log2(3 / 4))
+    assert bits[5, 5, 5, 2] == pytest.approx(-np.log2(3 / 4))  # contexts never seen cost nothing
+    assert bits[1, 1, 1, 3] == pytest.approx(4 * 2 + np.log2(langid.SYMBOLS))  # four escapes of 1 / 4
+
+
+def test_scores_do_not_depend_on_batches():
+    rs = np.random.RandomState(0)
+    texts = [bytes(rs.randint(97, 123, n).astype(np.uint8)) for n in (0, 1, 5, 300, 0, 70)]
+    model = langid.Model(["a", "b"], langid._fold([]), rs.rand(langid.SYMBOLS**4, 2).astype(np.float32))
+    offsets = np.cumsum([0, *map(len, texts)])
+    whole = model.score(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    old, langid.CHUNK = langid.CHUNK, 37
+    try:
+        assert np.allclose(model.score(np.frombuffer(b"".join(texts), np.uint8), offsets), whole)
+    finally:
+        langid.CHUNK = old
+
+
+def naive_statistics(text):
+    words = WORD.findall(text or "")
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    n = collections.Counter(windows)
+    covered = {j for i, w in enumerate(windows) if n[w] > 1 for j in range(i, i + 5)}
+    lines = [x for x in (text or "").split("\n") if WORD.search(x)]
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered)
+
+
+def test_rules(spark, odd):
+    for r in rules.robust_outliers(odd.drop("n_words")).join(odd.select("doc_id", "text"), "doc_id").collect():
+        got = r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]
+        assert got == naive_statistics(r["text"])
+        assert r["base_failed"] == (got[0] < 10 or 100 * got[4] > 20 * got[0]) and not (r["base_failed"] and r["kept"])
+    assert rules.robust_outliers(odd.limit(0).drop("n_words")).count() == 0
+
+
+def test_outliers_are_rejected_and_clean_documents_kept(spark):
+    rnd = random.Random(2)
+    clean = [(i, " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8))) for _ in range(rnd.randint(40, 400))), "en", "s") for i in range(200)]
+    junk = [(1000 + i, " ".join("x" * rnd.randint(2, 8) + "$$$" for _ in range(100)), "en", "s") for i in range(10)]
+    kept = {r["doc_id"]: r["kept"] for r in rules.robust_outliers(docs(spark, clean + junk).drop("n_words")).collect()}
+    assert not any(kept[1000 + i] for i in range(10)) and all(kept[i] for i in range(200))
+
+
+def test_neighbours(spark):
+    rs = np.random.RandomState(1)
+    x = rs.randn(400, 16)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1001, [0.0] * 16), (1002, [float("nan")] * 16), (1003, [None] * 16), (1050, x[0].tolist())]
+    v = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = collections.defaultdict(list)
+    for r in ann.search(v.where("id % 50 = 0"), v).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    ids, u = np.array([*range(400), 1050]), np.vstack([x, x[0]])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    hits = 0
+    for q, found in got.items():
+        s = u @ u[list(ids).index(q)]
+        best = [int(i) for i in ids[np.lexsort((ids, -s))] if i != q][:5]
+        assert [r for r, _, _ in sorted(found)] == [1, 2, 3, 4, 5]
+        hits += len(set(best) & {i for _, i, _ in found})
+    assert len(got) == 9 and hits >= 0.9 * 45
+    assert ann.search(v.where("id = 0"), v.where("id < 3")).count() == 2 and ann.search(v.limit(0), v.limit(0)).count() == 0
+
+
+def test_multi_index_finds_all_within_the_radius():
+    codes = np.random.RandomState(0).randint(0, 1 << 16, (3000, 8)).astype(np.uint16)
+    codes[1:200] = codes[0] ^ (np.random.RandomState(1).rand(199, 8) < 0.5).astype(np.uint16)
+    index = ann.Index(codes)
+    for radius in (0, 3, 20, 55):
+        assert index.within(codes[0], radius).tolist() == np.flatnonzero(ann.hamming(codes, codes[0]) <= radius).tolist()
+
+
+def test_quality(spark, odd):
+    d = table(spark, SF, "documents").select("doc_id", "text")
+    rated = table(spark, SF, "labels").selectExpr("doc_id", "case when toxic = 1 then 0 when quality = 0 then 1 else 2 end AS grade")
+    model = quality.train(d, rated, 3)
+    out = quality.grade(d, model).join(rated, "doc_id").toPandas()
+    assert (out["tail_1"] >= out["tail_2"]).all() and out[out.grade == 2]["selected"].mean() > 0.95 and out[out.grade < 2]["selected"].mean() < 0.1
+    assert quality.grade(odd, quality.train(d, rated.limit(0), 3)).count() == odd.count()
+
+
+def test_licenses(spark):
+    text = "Some prose.\nLicensed under the Apache License, Version 2.0.\nThis work is licensed under the GNU General Public License, version 9.\nlicense of all sorts"
+    rows = licenses.scan(docs(spark, [(1, text, None, None), (2, None, None, None), (3, "", None, None)])).orderBy("line").collect()
+    assert [(r["line"], r["license"], r["confirmed"]) for r in rows[:1]] == [(1, "Apache-2.0", True)]
+    assert rows[1]["license"].endswith(("GPL-3.0", "GPL-2.0")) and rows[1]["differences"] and not rows[2]["confirmed"]
+
+
+def test_pii(spark, odd):
+    text = "Mail anna.smith@example.com or James Miller, call +1 (663) 555-6869, card 4465758382889437, ip 10.20.30.40, token 04dbebab91ab85687d33eeaaf9ac699e1188f962. Again anna.smith@example.com! Version 2.0 of 1999."
+    rows = [(1, text, "en", "a"), (2, "Иван Петров; anna.smith@example.com", "ru", "a"), (3, None, None, None), (4, "nothing here", None, None)]
+    got = {r["doc_id"]: r for r in pii.surrogates(docs(spark, rows)).collect()}
+    new = got[1]["text"]
+    for entity in ("anna.smith", "James Miller", "663", "555-6869", "4465758382889437", "10.20.30.40", "04dbebab91ab85687d33eeaaf9ac699e1188f962"):
+        assert entity not in new
+    mail = re.search(r"Mail (\S+) or", new)[1]
+    assert new.count(mail) == 2 and mail in got[2]["text"] and mail.endswith(".com")
+    assert re.search(r" or ([A-Z]\w+) [A-Z][a-z]{5},", new)[1] in pii.GIVEN[0] and re.match(r"[А-Я][а-я]+ [А-Я][а-я]{5};", got[2]["text"])
+    assert re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4}, card \d{16}, ip \d+\.\d+\.\d+\.\d+, token [0-9a-f]{40}\. Again", new) and new.endswith("Version 2.0 of 1999.")
+    assert got[1]["n_entities"] == 7 and got[3]["text"] is None and got[4]["text"] == "nothing here"
+
+
+def test_surrogates_are_distinct(spark):
+    phones = spark.range(3000).selectExpr("concat('+1 (555) 010-', lpad(cast(id as string), 4, '0')) AS e")
+    assert phones.select(pii.surrogate(phones["e"], 1).alias("s")).distinct().count() == 3000
+
+
+def test_pipeline_runs_on_the_smallest_tables(spark):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, SF)
+    kept = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
+    assert len(kept) > 50 and out.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
