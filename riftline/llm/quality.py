@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -66,13 +69,30 @@ class Ordinal:
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int, max_docs: int = TRAIN_DOCS) -> Ordinal:
-    """Fit on at most max_docs rated documents, those with the smallest hashes of their ids. ratings: (doc_id, grade in 0..grades-1)."""
+    """Fit on at most max_docs rated documents, those with the smallest hashes of their ids. ratings: (doc_id, grade in 0..grades-1).
+
+    One task gathers the features of the sample and fits; the driver gets the weights.
+    """
     picked = ratings.where("grade IS NOT NULL AND doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(max_docs)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", F.col("grade").cast("int").alias("grade")).toArrow()  # max_docs rows
-    model = Ordinal(grades)
-    if rows.num_rows:
-        model.fit(*features([(x or "").encode() for x in rows.column("text").to_pylist()]), rows.column("grade").to_numpy())
-    return model
+    rated = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.col("grade").cast("int").alias("grade"), "text")  # max_docs rows
+
+    def sparse(batches):
+        for batch in batches:
+            for at, texts in _chunks(batch.column(2).to_pylist()):
+                starts, columns, values = features(texts)
+                cells = [(columns[a:b].tolist(), values[a:b].tolist()) for a, b in itertools.pairwise(starts.tolist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([c for c, _ in cells], pa.list_(pa.int32())), pa.array([v for _, v in cells], pa.list_(pa.float64()))], names=["doc_id", "grade", "columns", "values"])
+
+    def fit(batches):
+        rows = sorted((r for batch in batches for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), [x.values.to_numpy() for x in batch.column(2)], [x.values.to_numpy() for x in batch.column(3)], strict=True)), key=lambda r: r[:2])
+        model = Ordinal(grades)
+        if rows:
+            starts = np.cumsum([0, *(len(r[2]) for r in rows)])
+            model.fit(starts, np.concatenate([r[2] for r in rows]), np.concatenate([r[3] for r in rows]), np.array([r[1] for r in rows]))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rated.mapInArrow(sparse, "doc_id long, grade int, columns array<int>, values array<double>").repartition(1).mapInArrow(fit, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else Ordinal(grades)
 
 
 def grade(docs: DataFrame, model: Ordinal, least_tail: float = LEAST_TAIL) -> DataFrame:
