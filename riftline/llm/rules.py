@@ -50,22 +50,25 @@ def _repeated(words: Column) -> Column:
     def found(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(slow(h))
 
-    windows = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 4), lambda i: F.xxhash64(F.slice(w, i, 5)))
-    return F.when(F.size(words) >= 6, _let(windows(words), found)).otherwise(F.lit(0))
+    def windows(h: Column) -> Column:
+        return F.transform(F.slice(h, F.lit(5), F.size(h) - 4), lambda x, i: F.xxhash64(F.get(h, i), F.get(h, i + 1), F.get(h, i + 2), F.get(h, i + 3), x))
+
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(F.size(words) >= 6, _let(_let(hashed, windows), found)).otherwise(F.lit(0))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """All columns of docs but text, plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed. A null text has no word."""
     text = F.coalesce(F.col("text"), F.lit(""))
     words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, " \t\n\x0b\x0c\r", "")) > 0)
-    counted = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeated(w).cast("long").alias("n_repeat_words")))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    counted = _let(words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated(w).cast("long").alias("n_repeat_words")))
     out = docs.withColumn("_w", counted).withColumn("_lines", _let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")))
     return out.select(
         *[c for c in docs.columns if c != "text"],
         F.col("_w.n_words"),
-        F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.col("_w.word_chars"),
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.col("_lines").alias("n_dup_lines"),
         F.col("_w.n_repeat_words"),
         ((F.col("_w.n_words") < 10) | (100 * F.col("_w.n_repeat_words") > 20 * F.col("_w.n_words"))).alias("base_failed"),
@@ -100,26 +103,41 @@ def _estimates(inside: Column, start: str) -> list[Column]:
     return [F.avg(x[i]).alias(f"{start}_m{i}") for i in range(_P)] + [F.covar_pop(x[i], x[j]).alias(f"{start}_c{i}{j}") for i in range(_P) for j in range(i + 1)]
 
 
-def _whitened(groups: DataFrame, start: str) -> DataFrame:
-    """From means and covariances, the struct of a start: means m, the inverse w of the Cholesky factor, and logdet."""
+def _whitened(groups: DataFrame, starts: tuple[str, ...]) -> DataFrame:
+    """From means and covariances, the struct of each start: means m, the inverse w of the Cholesky factor, and logdet.
+
+    What depends on the same columns is added in one projection for all starts, so the plan stays short.
+    """
     floor = list(FEATURES.values())
     out = groups
-    for i in range(_P):
-        for j in range(i + 1):
-            c = F.coalesce(F.col(f"{start}_c{i}{j}"), F.lit(0.0)) + (floor[i] ** 2 if i == j else 0.0)
-            for k in range(j):
-                c = c - F.col(f"_l{i}{k}") * F.col(f"_l{j}{k}")
-            out = out.withColumn(f"_l{i}{j}", F.sqrt(F.greatest(c, F.lit(1e-6))) if i == j else c / F.col(f"_l{j}{j}"))
+
+    def factor(s: str, i: int, j: int) -> Column:
+        c = F.coalesce(F.col(f"{s}_c{i}{j}"), F.lit(0.0)) + (floor[i] ** 2 if i == j else 0.0)
+        for k in range(j):
+            c = c - F.col(f"_l{s}{i}{k}") * F.col(f"_l{s}{j}{k}")
+        return F.sqrt(F.greatest(c, F.lit(1e-6))) if i == j else c / F.col(f"_l{s}{j}{j}")
+
+    def inverse(s: str, i: int, j: int) -> Column:
+        w = F.lit(1.0) if i == j else F.lit(0.0)
+        for k in range(j, i):
+            w = w - F.col(f"_l{s}{i}{k}") * F.col(f"_w{s}{k}{j}")
+        return w / F.col(f"_l{s}{i}{i}")
+
     for j in range(_P):
-        for i in range(j, _P):
-            w = F.lit(1.0) if i == j else F.lit(0.0)
-            for k in range(j, i):
-                w = w - F.col(f"_l{i}{k}") * F.col(f"_w{k}{j}")
-            out = out.withColumn(f"_w{i}{j}", w / F.col(f"_l{i}{i}"))
-    fields = [F.coalesce(F.col(f"{start}_m{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(_P)] + [F.col(f"_w{i}{j}").alias(f"w{i}{j}") for i in range(_P) for j in range(i + 1)]
-    logdet = sum((F.log(F.col(f"_l{i}{i}")) for i in range(1, _P)), F.log(F.col("_l00")))
-    made = out.withColumn(start, F.struct(*fields, logdet.alias("logdet")))
-    return made.drop(*[c for c in made.columns if c.startswith(("_l", "_w", f"{start}_m", f"{start}_c"))])
+        out = out.withColumns({f"_l{s}{j}{j}": factor(s, j, j) for s in starts})
+        if j + 1 < _P:
+            out = out.withColumns({f"_l{s}{i}{j}": factor(s, i, j) for s in starts for i in range(j + 1, _P)})
+    for away in range(_P):
+        out = out.withColumns({f"_w{s}{j + away}{j}": inverse(s, j + away, j) for s in starts for j in range(_P - away)})
+
+    def made(s: str) -> Column:
+        means = [F.coalesce(F.col(f"{s}_m{i}"), F.lit(0.0)).alias(f"m{i}") for i in range(_P)]
+        inverses = [F.col(f"_w{s}{i}{j}").alias(f"w{i}{j}") for i in range(_P) for j in range(i + 1)]
+        logdet = sum((F.log(F.col(f"_l{s}{i}{i}")) for i in range(1, _P)), F.log(F.col(f"_l{s}00")))
+        return F.struct(*means, *inverses, logdet.alias("logdet"))
+
+    out = out.withColumns({s: made(s) for s in starts})
+    return out.drop(*[c for c in out.columns if c.startswith(("_l", "_w", *(f"{s}_{x}" for s in starts for x in "mc")))])
 
 
 def determinants(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -140,8 +158,10 @@ def determinants(rows: DataFrame, by: list[str]) -> DataFrame:
         cuts = at.groupBy(*by).agg(*[F.percentile_approx(d, SUBSET, 1000).alias(f"cut_{s}") for s, d in distances.items()])
         h = cuts.toDF(*[f"h_{c}" if c in by else c for c in cuts.columns])
         groups = written(groups.join(h, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in by]).drop(*[f"h_{c}" for c in by]), "cuts")
-        sums = joined(groups).groupBy(*by).agg(F.count("*").alias("n"), *[e for s, d in distances.items() for e in _estimates(d <= F.col(f"cut_{s}"), s)])
-        groups = written(_whitened(_whitened(sums, "a"), "b"), "steps")
+        # The distance is a column of its own, so that it is computed once a row and not in every aggregate.
+        near = joined(groups).withColumns({f"_in_{s}": d <= F.col(f"cut_{s}") for s, d in distances.items()})
+        sums = near.groupBy(*by).agg(F.count("*").alias("n"), *[e for s in distances for e in _estimates(F.col(f"_in_{s}"), s)])
+        groups = written(_whitened(sums, tuple(distances)), "steps")
         distances = {"a": _distance("a"), "b": _distance("b")}
     best = groups.select(*by, "n", F.when(F.col("b.logdet") < F.col("a.logdet"), F.col("b")).otherwise(F.col("a")).alias("best"))
     scale = joined(best).groupBy(*by).agg(F.greatest(F.percentile_approx(_distance("best"), 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
