@@ -15,6 +15,7 @@ Sets are compared as sets of 64-bit shingle hashes; nodes are named by a 64-bit
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -82,20 +83,26 @@ def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, keys, bitmap) of each row."""
+    """(doc_id, n, node, keys, bitmap, text) of each row. Of rows of one node, a task keeps the text of the first only."""
     ranked = docs.sparkSession.sparkContext.broadcast(order)  # COUNTERS bytes
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
             for at, texts in _chunks(batch.column(1).to_pylist()):
                 sets = shingle_sets(texts, k)
+                names = [fingerprint(s) for s in sets]
+                own = []
+                for i, node in enumerate(names):
+                    own.append(None if node in seen else texts[i].decode())
+                    seen.add(node)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([fingerprint(s) for s in sets], pa.int64()), pa.array([prefix(s, ranked.value, percent).tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary())],
-                    names=["doc_id", "n", "node", "keys", "bitmap"],
+                    [ids.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([prefix(s, ranked.value, percent).tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(own, pa.string())],
+                    names=["doc_id", "n", "node", "keys", "bitmap", "text"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, keys binary, bitmap binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, keys binary, bitmap binary, text string")
 
 
 _PAIR = np.dtype([("key", "<u8"), ("node", "<i8")])
@@ -183,6 +190,25 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def node_texts(signed: DataFrame, met: DataFrame) -> tuple[DataFrame, str]:
+    """(node, text), one row for each node of met, bucketed by node so that no later join shuffles texts; and the table's name."""
+    spark = signed.sparkSession
+
+    def once(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            fresh = []
+            for node in batch.column(0).to_pylist():
+                fresh.append(node not in seen)
+                seen.add(node)
+            yield batch.filter(pa.array(fresh, pa.bool_()))
+
+    name, parts = f"riftline_texts_{uuid.uuid4().hex}", shuffle_partitions(spark)
+    held = signed.where("n > 0 AND text IS NOT NULL").select("node", "text").join(met, "node", "left_semi")
+    held.repartition(parts, "node").mapInArrow(once, "node long, text string").write.bucketBy(parts, "node").option("path", f"{shared_dir(spark)}/riftline/{name}").saveAsTable(name)
+    return spark.table(name), name
+
+
 def _fits(a: str, b: str, percent: int):
     return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
 
@@ -307,7 +333,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     firsts = written(met.join(classes, "node"), "firsts")
     own = signed.select("node", F.col("doc_id").alias("least_id"), "n", "bitmap").where("n > 0")
     nodes = written(own.join(firsts, ["node", "least_id"], "left_semi").dropDuplicates(["node"]), "nodes")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("least_id"), "text").join(firsts, "least_id").select("node", "text"), "texts")
+    texts, texts_name = node_texts(signed, met)
 
     labels, open_keys = None, keys.withColumn("label", F.col("node"))
     for turn, pivots in enumerate((*STAR_ROUNDS, 0)):
@@ -336,6 +362,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
             open_keys = written(marked.join(mixed, "key", "left_semi").distinct(), "open")
             if not open_keys.limit(1).count():
                 break
+    spark.sql(f"DROP TABLE IF EXISTS {texts_name}")
 
     least = labels.join(classes, "node")
     smallest = least.groupBy("label").agg(F.min("least_id").alias("smallest"))
