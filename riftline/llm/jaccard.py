@@ -176,6 +176,14 @@ def shared_keys(signed: DataFrame) -> DataFrame:
     return signed.where("n > 0").select("node", "keys").mapInArrow(deal, schema).repartition(parts, "bucket").mapInArrow(meet, "key long, node long")
 
 
+def distinct_members(keys: DataFrame) -> DataFrame:
+    """keys without those whose nodes are exactly another key's, by two 64-bit sums over the nodes and their count."""
+    total = lambda seed: F.expr(f"bit_xor(xxhash64(node, {seed}))")
+    members = keys.groupBy("key").agg(total(1).alias("x"), total(2).alias("y"), F.count("*").alias("m"))
+    kept = members.groupBy("x", "y", "m").agg(F.min("key").alias("key")).select("key")
+    return keys.join(kept, "key", "left_semi")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of a link reaches. Labels spread along links, and jump to their label's label."""
     both = written(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
@@ -328,7 +336,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> D
     shared_dir(spark)
     signed = written(signatures(docs, rarity(docs, k), k, percent), "signatures")
     classes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    keys = written(shared_keys(signed), "keys")
+    keys = written(distinct_members(written(shared_keys(signed).distinct(), "shared")), "keys")
     met = keys.select("node").distinct()
     firsts = written(met.join(classes, "node"), "firsts")
     own = signed.select("node", F.col("doc_id").alias("least_id"), "n", "bitmap").where("n > 0")
