@@ -222,16 +222,17 @@ def _fits(a: str, b: str, percent: int):
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sizes and bitmaps leave a link possible."""
+    """Of pairs (a, b), those whose sizes and bitmaps leave a link possible; of those of each a, the one of the highest bound."""
     of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bitmap_{c}"))
 
     def run(batches):
         for batch in batches:
             a, b, n_a, n_b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"))
-            keep = [(100 + percent) * overlap_bound(x[i], n_a[i], y[i], n_b[i]) >= percent * (n_a[i] + n_b[i]) for i in range(len(a))]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            bound = [overlap_bound(x[i], n_a[i], y[i], n_b[i]) for i in range(len(a))]
+            keep = [i for i in range(len(a)) if (100 + percent) * bound[i] >= percent * (n_a[i] + n_b[i])]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()), pa.array([bound[i] / (n_a[i] + n_b[i]) for i in keep], pa.float64())], names=["a", "b", "bound"])
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(_fits("n_a", "n_b", percent)).mapInArrow(run, "a long, b long")
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(_fits("n_a", "n_b", percent)).mapInArrow(run, "a long, b long, bound double").groupBy("a").agg(F.max(F.struct("bound", "b")).alias("best")).select("a", "best.b")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
