@@ -15,6 +15,7 @@ Sets are compared as sets of 64-bit shingle hashes; nodes are named by a 64-bit
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterator
 
@@ -32,8 +33,8 @@ COUNTERS, BLOCK = 1 << 18, 1 << 12
 BATCH_BYTES = 1 << 20
 #: Pivots of a key in each star round.
 STAR_ROUNDS = (1, 4, 4, 4)
-#: Nodes of a key, or members of a star, that are compared in one group.
-TILE = 64
+#: Nodes of a key and size band, or members of a star, that are compared in one group.
+TILE, STAR = 512, 256
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -238,10 +239,10 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those that link, by intersecting the sorted arrays of their whole texts.
 
-    The members of b are dealt in groups of about TILE, and b goes to each of them, so a hot b does not land in one task.
+    The members of b are dealt in groups of about STAR, and b goes to each of them, so a hot b does not land in one task.
     """
     pairs = written(pairs, "pairs")
-    heads = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / TILE).cast("int").alias("groups"))
+    heads = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / STAR).cast("int").alias("groups"))
     members = pairs.join(heads, "b").select("b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("a").alias("node"))
     first = heads.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("b").alias("node"))
     rows = members.unionByName(first).join(texts, "node").select("b", "part", "role", "node", "text")
@@ -271,33 +272,40 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
 def across(keys: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """All pairs of nodes that share a key, are in different components and pass the bounds.
 
-    keys: (key, node, label). The nodes of a key are dealt in blocks of about TILE, and each two blocks meet in a tile.
+    keys: (key, node, label). Sizes that can link lie in one size band or in two neighbours: the cell of a band holds its own nodes
+    (role 0) and those of the next band (role 1). The nodes of a cell are dealt in blocks of about TILE, and each two blocks meet in a tile.
     """
-    sized = keys.join(keys.groupBy("key").agg(F.count("*").alias("members")), "key").withColumn("blocks", F.ceil(F.col("members") / TILE).cast("int"))
+    step = max(1e-6, 1.0001 * math.log(100 / percent))
+    cell = lambda band, role: F.struct(band.cast("int").alias("cell"), F.lit(role).alias("role"))
+    band = F.floor(F.log(F.col("n").cast("double")) / step)
+    rows = written(keys.join(nodes.select("node", "n", "bitmap"), "node").withColumn("_c", F.explode(F.array(cell(band, 0), cell(band - 1, 1)))).select("key", "_c.cell", "_c.role", "node", "label", "n", "bitmap"), "cells")
+    found = rows.groupBy("key", "cell").agg(F.count("*").alias("members"), F.min("role").alias("least"), F.min("label").alias("x"), F.max("label").alias("y"))
+    mixed = found.where("least = 0 AND x != y").select("key", "cell", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label").join(nodes.select("node", "n", "bitmap"), "node")
+    tiles = rows.join(mixed, ["key", "cell"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tiles = tiles.select("key", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "n", "bitmap", "role", "own")
 
-    def compare(rows):
-        """Pairs of one tile, whose rows are sorted by size; each bitmap is folded to the narrower width of its pair."""
-        size = np.array([r[2] for r in rows])
-        label = np.array([r[1] for r in rows])
+    def compare(rows, two_blocks):
+        """Pairs of one tile: of two blocks, those of one node of each; each bitmap is folded to the narrower width of its pair."""
+        label, size, role, own = (np.array([r[c] for r in rows]) for c in (1, 2, 4, 5))
         by_width: dict[int, list[int]] = {}
         for i, r in enumerate(rows):
             by_width.setdefault(len(r[3]), []).append(i)
         bits = {w: np.frombuffer(b"".join(rows[i][3] for i in at), np.uint64).reshape(len(at), -1) for w, at in by_width.items()}
         for w, at in by_width.items():
             for v, other in by_width.items():
-                if v < w or v > 2 * w:
+                if v < w:
                     continue
                 x, y = bits[w], bits[v]
-                if v > w:
-                    y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
                 n_x, n_y = size[at][:, None], size[other][None, :]
-                fits = (np.minimum(n_x, n_y) * 100 >= np.maximum(n_x, n_y) * percent) & (label[at][:, None] != label[other][None, :])
+                fits = (np.minimum(n_x, n_y) * 100 >= np.maximum(n_x, n_y) * percent) & (label[at][:, None] != label[other][None, :]) & (role[at][:, None] + role[other][None, :] < 2)
+                if two_blocks:
+                    fits &= own[at][:, None] != own[other][None, :]
                 if v == w:
                     fits = np.triu(fits, 1)
                 i, j = np.nonzero(fits)
+                while len(i) and y.shape[1] > x.shape[1]:
+                    y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
                 for k in range(0, len(i), 4096):
                     p, q = i[k : k + 4096], j[k : k + 4096]
                     both = x[p] & y[q]
@@ -312,18 +320,18 @@ def across(keys: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
         held, of = [], None
         for batch in batches:
             found = []
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "label", "n", "bitmap")), strict=True):
-                if (key, i, j) != of:
+            for key, cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "i", "j", "node", "label", "n", "bitmap", "role", "own")), strict=True):
+                if (key, cell, i, j) != of:
                     if len(held) > 1:
-                        found += compare(held)
-                    held, of = [], (key, i, j)
+                        found += compare(held, of[2] != of[3])
+                    held, of = [], (key, cell, i, j)
                 held.append(row)
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
-        found = list(compare(held))
+        found = list(compare(held, of[2] != of[3])) if len(held) > 1 else []
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    dealt = tiles.repartition(shuffle_partitions(keys.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.select("key", "i", "j", "node", "label", "n", "bitmap").mapInArrow(run, "a long, b long").distinct()
+    dealt = tiles.repartition(shuffle_partitions(keys.sparkSession), "key", "cell", "i", "j").sortWithinPartitions("key", "cell", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
