@@ -5,7 +5,8 @@ map-side partial sums, so a source with a third of the rows costs its tasks one
 
 The estimate of a group follows the deterministic MCD: two starting orders (the Mahalanobis distance from median and MAD, and
 the largest coordinate distance), each taking the half-or-more subset of smallest distances, then concentration steps; the start
-with the smaller determinant wins, and its scatter is scaled so that the median distance matches its chi-square.
+with the smaller determinant wins, and its scatter is scaled so that the median distance matches its chi-square. A group too small
+for an estimate of its own is judged by the pooled one of its language, and where that is too small as well, by that of all rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from riftline.llm.common import WORD, table, written
 
 #: Share of a group that an estimate rests on, and concentration steps.
 SUBSET, STEPS = 0.75, 2
-#: Groups below this size reject nothing by distance.
+#: Groups below this size are judged by a pooled estimate.
 LEAST_ROWS = 30
 #: Chi-square with 5 degrees of freedom: median, and the quantile 1 - 1e-8 beyond which a document is an outlier.
 CHI2_MEDIAN, CHI2_CUT = 4.3515, 47.0
@@ -140,24 +141,30 @@ def _whitened(groups: DataFrame, starts: tuple[str, ...]) -> DataFrame:
     return out.drop(*[c for c in out.columns if c.startswith(("_l", "_w", *(f"{s}_{x}" for s in starts for x in "mc")))])
 
 
+def _matched(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on equal or null by; without any by, with each row of right."""
+    keyed = right.toDF(*[f"k_{c}" if c in by else c for c in right.columns])
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"k_{c}"))
+    return left.join(F.broadcast(keyed), on, how).drop(*[f"k_{c}" for c in by])
+
+
 def determinants(rows: DataFrame, by: list[str]) -> DataFrame:
-    """One row per group: n, best (means and whitening), scale. rows: features, already without failed documents."""
+    """One row per group: n, best (means and whitening), scale. rows: features, already without failed documents. Without any by, all rows are one group."""
     def joined(groups: DataFrame) -> DataFrame:
-        g = groups.toDF(*[f"g_{c}" if c in by else c for c in groups.columns])
-        return rows.join(g, [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in by]).drop(*[f"g_{c}" for c in by])
+        return _matched(rows, groups, by)
 
     medians = rows.groupBy(*by).agg(F.count("*").alias("n"), *[F.percentile_approx(c, 0.5, 1000).alias(f"med{i}") for i, c in enumerate(NAMES)])
     medians = written(medians, "medians")
     spread = joined(medians).groupBy(*by).agg(*[F.percentile_approx(F.abs(F.col(c) - F.col(f"med{i}")), 0.5, 1000).alias(f"mad{i}") for i, c in enumerate(NAMES)])
-    g = spread.toDF(*[f"h_{c}" if c in by else c for c in spread.columns])
-    groups = written(medians.join(g, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in by]).drop(*[f"h_{c}" for c in by]), "spread")
+    groups = written(_matched(medians, spread, by), "spread")
     z = [(F.col(c) - F.col(f"med{i}")) / F.greatest(1.4826 * F.col(f"mad{i}"), F.lit(floor)) for i, (c, floor) in enumerate(FEATURES.items())]
     distances = {"a": sum((x * x for x in z[1:]), z[0] * z[0]), "b": F.greatest(*[F.abs(x) for x in z])}
     for _ in range(STEPS + 1):
         at = joined(groups)
         cuts = at.groupBy(*by).agg(*[F.percentile_approx(d, SUBSET, 1000).alias(f"cut_{s}") for s, d in distances.items()])
-        h = cuts.toDF(*[f"h_{c}" if c in by else c for c in cuts.columns])
-        groups = written(groups.join(h, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in by]).drop(*[f"h_{c}" for c in by]), "cuts")
+        groups = written(_matched(groups, cuts, by), "cuts")
         # The distance is a column of its own, so that it is computed once a row and not in every aggregate.
         near = joined(groups).withColumns({f"_in_{s}": d <= F.col(f"cut_{s}") for s, d in distances.items()})
         sums = near.groupBy(*by).agg(F.count("*").alias("n"), *[e for s in distances for e in _estimates(F.col(f"_in_{s}"), s)])
@@ -165,25 +172,33 @@ def determinants(rows: DataFrame, by: list[str]) -> DataFrame:
         distances = {"a": _distance("a"), "b": _distance("b")}
     best = groups.select(*by, "n", F.when(F.col("b.logdet") < F.col("a.logdet"), F.col("b")).otherwise(F.col("a")).alias("best"))
     scale = joined(best).groupBy(*by).agg(F.greatest(F.percentile_approx(_distance("best"), 0.5, 1000) / CHI2_MEDIAN, F.lit(1.0)).alias("scale"))
-    s = scale.toDF(*[f"h_{c}" if c in by else c for c in scale.columns])
-    return written(best.join(s, [F.col(c).eqNullSafe(F.col(f"h_{c}")) for c in by]).drop(*[f"h_{c}" for c in by]), "best")
+    return written(_matched(best, scale, by), "best")
+
+
+def judges(rows: DataFrame, by: list[str]) -> DataFrame:
+    """determinants(rows, by), but groups under LEAST_ROWS rows have the estimate of a shorter by; that of all rows serves at any size."""
+    groups = determinants(rows, by)
+    for k in reversed(range(len(by))):
+        few = groups.where(F.col("n") < LEAST_ROWS).select(*by)
+        if few.isEmpty():
+            break
+        pooled = determinants(_matched(rows, few.select(*by[:k]).distinct(), by[:k], "left_semi") if k else rows, by[:k])
+        groups = written(groups.where(F.col("n") >= LEAST_ROWS).unionByName(_matched(few, pooled, by[:k])), "pooled")
+    return groups
 
 
 def robust_outliers(docs: DataFrame, by: tuple[str, ...] = ("lang", "source")) -> DataFrame:
     """statistics(docs) plus distance and kept.
 
-    ``kept`` is false if base_failed, or if the squared distance from the group's robust centre exceeds CHI2_CUT. A group of fewer
-    than LEAST_ROWS rows that pass the base rules rejects nothing by distance, and distance is null there. Null lang or source
-    are groups of their own. Repeated rows are judged alike; an empty table gives no rows.
+    ``kept`` is false if base_failed, or if the squared distance from the robust centre exceeds CHI2_CUT. The centre is the group's, for
+    groups of fewer than LEAST_ROWS rows that pass the base rules that of its language, else of all rows. Null lang or source
+    are groups of their own; one without any row that passes has a null distance. Repeated rows are judged alike; an empty table gives no rows.
     """
     by = list(by)
     rows = written(features(statistics(docs)), "statistics")
-    groups = determinants(rows.where("NOT base_failed"), by)
-    g = groups.toDF(*[f"g_{c}" if c in by else c for c in groups.columns])
-    judged = rows.join(g, [F.col(c).eqNullSafe(F.col(f"g_{c}")) for c in by], "left")
-    distance = F.when(F.col("n") >= LEAST_ROWS, _distance("best") / F.col("scale"))
-    out = judged.withColumn("distance", distance).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CHI2_CUT))
-    return out.drop("n", "best", "scale", *[f"g_{c}" for c in by], *NAMES)
+    judged = _matched(rows, judges(rows.where("NOT base_failed"), by), by, "left")
+    out = judged.withColumn("distance", _distance("best") / F.col("scale")).withColumn("kept", ~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= CHI2_CUT))
+    return out.drop("n", "best", "scale", *NAMES)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

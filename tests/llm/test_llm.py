@@ -179,6 +179,19 @@ def test_outliers_are_rejected_and_clean_documents_kept(spark):
     assert not any(kept[1000 + i] for i in range(10)) and all(kept[i] for i in range(200))
 
 
+def test_small_groups_are_judged_by_pooled_estimates(spark):
+    rnd = random.Random(3)
+    plain = lambda: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8))) for _ in range(rnd.randint(40, 400)))
+    junk = lambda: " ".join("x" * rnd.randint(2, 8) + "$$$" for _ in range(100))
+    rows = [(i, plain(), "en", "s") for i in range(200)] + [(500 + i, plain(), "en", "few") for i in range(10)] + [(600, plain(), "xx", "t"), (601, plain(), None, None)]
+    rows += [(1000, junk(), "en", "few"), (1001, junk(), "en", None), (1002, junk(), "xx", "t"), (1003, junk(), None, None), (1004, junk(), "yy", "s")]
+    got = {r["doc_id"]: r for r in rules.robust_outliers(docs(spark, rows).drop("n_words")).collect()}
+    assert len(got) == len(rows) and all(r["distance"] is not None for r in got.values())
+    assert all(r["kept"] == (i < 1000) for i, r in got.items())
+    alone = rules.robust_outliers(docs(spark, rows[:3]).drop("n_words")).collect()
+    assert len(alone) == 3 and all(r["distance"] is not None and r["kept"] for r in alone)
+
+
 def test_neighbours(spark):
     rs = np.random.RandomState(1)
     x = rs.randn(400, 16)
