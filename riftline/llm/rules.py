@@ -5,7 +5,8 @@ map-side partial sums, so a source with a third of the rows costs its tasks one
 
 The estimate of a group follows the deterministic MCD: two starting orders (the Mahalanobis distance from median and MAD, and
 the largest coordinate distance), each taking the half-or-more subset of smallest distances, then concentration steps; the start
-with the smaller determinant wins, and its scatter is scaled so that the median distance matches its chi-square. A group too small
+with the smaller determinant wins, and its scatter is scaled up where the median distance exceeds that of its chi-square (features that hardly vary have a floor, so a
+median below it says nothing of the rest). A group too small
 for an estimate of its own is judged by the pooled one of its language, and where that is too small as well, by that of all rows.
 """
 
@@ -20,9 +21,9 @@ from riftline.llm.common import WORD, table, written
 SUBSET, STEPS = 0.75, 2
 #: Groups below this size are judged by a pooled estimate.
 LEAST_ROWS = 30
-#: Chi-square with 5 degrees of freedom: median, and the quantile 1 - 1e-8 beyond which a document is an outlier.
-CHI2_MEDIAN, CHI2_CUT = 4.3515, 47.0
-#: Transformed statistics with the standard deviation that an estimate may not go below.
+#: Chi-square with 5 degrees of freedom: median, and the quantile 0.999 beyond which a document is an outlier.
+CHI2_MEDIAN, CHI2_CUT = 4.3515, 20.515
+#: Transformed statistics with the standard deviation to which an estimate below it is raised.
 FEATURES = {"f_length": 1.0, "f_word": 0.12, "f_symbols": 0.5, "f_lines": 0.7, "f_repeats": 0.7}
 NAMES = tuple(FEATURES)
 _P = len(NAMES)
@@ -113,7 +114,9 @@ def _whitened(groups: DataFrame, starts: tuple[str, ...]) -> DataFrame:
     out = groups
 
     def factor(s: str, i: int, j: int) -> Column:
-        c = F.coalesce(F.col(f"{s}_c{i}{j}"), F.lit(0.0)) + (floor[i] ** 2 if i == j else 0.0)
+        c = F.coalesce(F.col(f"{s}_c{i}{j}"), F.lit(0.0))
+        if i == j:
+            c = F.greatest(c, F.lit(floor[i] ** 2))
         for k in range(j):
             c = c - F.col(f"_l{s}{i}{k}") * F.col(f"_l{s}{j}{k}")
         return F.sqrt(F.greatest(c, F.lit(1e-6))) if i == j else c / F.col(f"_l{s}{j}{j}")

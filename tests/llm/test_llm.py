@@ -179,6 +179,14 @@ def test_outliers_are_rejected_and_clean_documents_kept(spark):
     assert not any(kept[1000 + i] for i in range(10)) and all(kept[i] for i in range(200))
 
 
+def test_a_tenth_of_symbols_is_rejected(spark):
+    rnd = random.Random(4)
+    clean = [(i, " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8))) for _ in range(rnd.randint(40, 400))), "en", "s") for i in range(200)]
+    tables = [(1000 + i, " ".join(w + ("|" if k % 2 else "") for k, w in enumerate(clean[i][1].split())), "en", "s") for i in range(10)]
+    kept = {r["doc_id"]: r["kept"] for r in rules.robust_outliers(docs(spark, clean + tables).drop("n_words")).collect()}
+    assert not any(kept[1000 + i] for i in range(10)) and sum(not kept[i] for i in range(200)) <= 1
+
+
 def test_small_groups_are_judged_by_pooled_estimates(spark):
     rnd = random.Random(3)
     plain = lambda: " ".join("".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8))) for _ in range(rnd.randint(40, 400)))
