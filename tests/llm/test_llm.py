@@ -244,6 +244,21 @@ def test_licenses(spark):
     assert rows[1]["license"].endswith(("GPL-3.0", "GPL-2.0")) and rows[1]["differences"] and not rows[2]["confirmed"]
 
 
+def test_licenses_over_lines_and_side_by_side():
+    import textwrap
+
+    mit = licenses.TEMPLATES["MIT"][1]
+    for mark in ("", " * ", "// ", "# "):
+        text = "int x;\n" + textwrap.fill(mit, 75, initial_indent=mark, subsequent_indent=mark) + "\nmore"
+        assert [(r[0], r[1], r[3], r[4]) for r in licenses.Scanner().scan(text)] == [(1, "MIT", True, [])]
+    both = "Licensed under the Apache License, Version 2.0. Released under the MIT License."
+    found = lambda text: [(r[1], r[3]) for r in licenses.Scanner().scan(text)]
+    assert found(both) == [("Apache-2.0", True), ("MIT", True)]
+    everything = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
+    assert found(" ".join(t for _, t in everything)) == [(name, True) for name, _ in everything]
+    assert found(both + " Other license text. " + mit.replace("copy, modify", "copy, alter") + " " + both) == [("Apache-2.0", True), ("MIT", True), found("Other license text. ")[0], ("MIT", True), ("Apache-2.0", True), ("MIT", True)]
+
+
 def test_pii(spark, odd):
     text = "Mail anna.smith@example.com or James Miller, call +1 (663) 555-6869, card 4465758382889437, ip 10.20.30.40, token 04dbebab91ab85687d33eeaaf9ac699e1188f962. Again anna.smith@example.com! Version 2.0 of 1999."
     rows = [(1, text, "en", "a"), (2, "Иван Петров; anna.smith@example.com", "ru", "a"), (3, None, None, None), (4, "nothing here", None, None)]
