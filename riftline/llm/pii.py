@@ -5,11 +5,14 @@ Native: one regular expression cuts a text into matches and what lies between, a
 A surrogate is an online cipher of the match: each character moves within its own class (digit, lower or upper case Latin or Cyrillic letter, octet of an
 address) by a keyed hash of the characters before it. So equal entities get equal surrogates anywhere (coreference), different ones of a type get
 different ones (the cipher can be undone character by character), and length, case, script and punctuation stay. Given names move within a list of
-their gender and script. That no surrogate is itself an entity of the corpus is checked over all entities; else the next key is tried.
+their gender and script. That no surrogate is itself an entity of the corpus, or another's surrogate, is checked over all entities; those that fail
+are enciphered anew, alone, until none is left.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +38,9 @@ PATTERN = "(?U)" + "|".join(f"(?:{p})" for p in KINDS.values())
 #: Texts without any of these characters or names hold no entity.
 _QUICK = r"[0-9@]|(?:" + "|".join(n for names in GIVEN for n in names) + ") "
 _RANGES = ((48, 57), (65, 90), (97, 122), (0x0410, 0x042F), (0x0430, 0x044F))
-KEY, TRIES = 4242, 8
+KEY = 4242
+#: After so many rounds names, mails and secrets grow by a letter, so that a number space that the corpus fills is left. Other kinds fail after MOST_ROUNDS.
+SAME_LENGTH, MOST_ROUNDS = 4, 64
 
 
 def _shift(key: int, so_far: Column) -> Column:
@@ -108,37 +113,56 @@ def _found(text: Column) -> Column:
     return F.when(text.rlike(_QUICK), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
-def checked_key(docs: DataFrame, key: int = KEY, tries: int = TRIES) -> tuple[int, DataFrame]:
-    """The first of a few keys under which no surrogate equals another, or any entity, of the corpus; and the table of entities.
+def _grown(entity: Column, letters: int) -> Column:
+    k, more = kind(entity), F.lit("a" * letters)
+    return F.when(k == "email", F.concat(more, entity)).when(k.isin("name", "secret"), F.concat(entity, more)).otherwise(entity)
 
-    Where every key meets some entity (a number space that the corpus fills), the last is used: its surrogates are still distinct.
-    """
-    entities = written(docs.select(F.explode(_found(F.col("text"))).alias("entity")).distinct(), "entities")
-    for k in range(key, key + tries):
-        made = entities.select("entity", surrogate(F.col("entity"), k).alias("surrogate"))
-        twice = made.groupBy("surrogate").count().where("count > 1").select("surrogate")
-        met = made.join(entities.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("surrogate")
-        if not twice.union(met).limit(1).count():
-            break
-    return k, entities
 
+def resolved(docs: DataFrame, key: int = KEY) -> DataFrame:
+    """(entity, surrogate) of the entities whose surrogate under key equals an entity of the corpus or another's surrogate. Theirs equals none.
 
-def replace(docs: DataFrame, key: int) -> DataFrame:
+    Each round enciphers the entities that are left by the next key, and keeps those that meet neither an entity nor any surrogate made so far.
+    """
+    left = written(docs.select(F.explode(_found(F.col("text"))).alias("entity")).distinct(), "entities")
+    used, done = left.select(F.col("entity").alias("surrogate")), left.limit(0).select("entity", F.col("entity").alias("surrogate"))
+    for k in itertools.count():
+        made = left.select("entity", surrogate(_grown(F.col("entity"), k // SAME_LENGTH) if k >= SAME_LENGTH else F.col("entity"), key + k).alias("surrogate"))
+        made = written(made, "surrogates")
+        every = made.unionByName(used.withColumn("entity", F.lit(None).cast("string")))
+        groups = every.groupBy("surrogate").agg(F.max(F.col("entity").isNull()).alias("met"), F.sort_array(F.collect_list("entity")).alias("es"))
+        left = written(groups.select(F.explode(F.expr("filter(es, (e, i) -> met OR i > 0)")).alias("entity")), "left")
+        if k:
+            done = done.unionByName(made.join(left, "entity", "left_anti"))
+        if left.isEmpty():
+            return done
+        if k == MOST_ROUNDS:
+            raise ValueError(f"{left.count()} entities have no surrogate that is not an entity of the corpus or another's surrogate")
+        used = used.unionByName(made.select("surrogate"))
+
+
+def replace(docs: DataFrame, key: int, others: DataFrame | None = None) -> DataFrame:
     """All columns of docs, with text rewritten, plus n_entities.
 
-    A null text stays null with no entity. Texts are searched whole. Repeated rows are rewritten alike. A column n_entities is replaced.
+    others has the (entity, surrogate) that differ from what key gives. A null text stays null with no entity. Texts are searched whole. Repeated rows are rewritten alike. A column n_entities is replaced.
     """
     text = F.col("text")
+    if others is not None:
+        docs = docs.crossJoin(F.broadcast(others.agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_others"))))
+
+    def new(entity: Column) -> Column:
+        return surrogate(entity, key) if others is None else F.coalesce(F.try_element_at(F.col("_others"), entity), surrogate(entity, key))
+
     def rewritten(parts: Column, found: Column) -> Column:
-        return F.array_join(F.transform(F.arrays_zip(parts.alias("p"), found.alias("f")), lambda x: F.concat(x["p"], F.coalesce(surrogate(x["f"], key), F.lit("")))), "")
+        return F.array_join(F.transform(F.arrays_zip(parts.alias("p"), found.alias("f")), lambda x: F.concat(x["p"], F.coalesce(F.when(x["f"].isNotNull(), new(x["f"])), F.lit("")))), "")
 
     pieces = docs.withColumn("_f", _found(text)).withColumn("_p", F.when(F.size("_f") > 0, F.split(text, PATTERN, -1)))
     out = pieces.withColumn("text", F.when(F.size("_f") > 0, rewritten(F.col("_p"), F.col("_f"))).otherwise(text)).withColumn("n_entities", F.size("_f").cast("long"))
-    return out.drop("_f", "_p")
+    return out.drop("_f", "_p", "_others")
 
 
 def surrogates(docs: DataFrame, key: int = KEY) -> DataFrame:
-    return replace(docs, checked_key(docs.select("text"), key)[0])
+    others = written(resolved(docs.select("text"), key), "others")
+    return replace(docs, key, None if others.isEmpty() else others)
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:

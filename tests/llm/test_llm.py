@@ -278,6 +278,17 @@ def test_surrogates_are_distinct(spark):
     assert phones.select(pii.surrogate(phones["e"], 1).alias("s")).distinct().count() == 3000
 
 
+@pytest.mark.parametrize("share", [0.3, 1.0])
+def test_no_surrogate_is_an_entity_of_the_corpus(spark, share):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    real = [f"{a}@{b}.com" for a in letters for b in letters]
+    real = random.Random(6).sample(real, int(share * len(real)))
+    rows = [(i, f"to {e} and {real[0]}", "en", "a") for i, e in enumerate(real)]
+    got = {r["doc_id"]: re.fullmatch(r"to (\S+) and (\S+)", r["text"]).groups() for r in pii.surrogates(docs(spark, rows)).collect()}
+    assert len({a for a, _ in got.values()}) == len(real) and not {a for a, _ in got.values()} & set(real)
+    assert {b for _, b in got.values()} == {got[0][0]}
+
+
 def test_pipeline_runs_on_the_smallest_tables(spark):
     import corpus_pipeline
 
