@@ -18,10 +18,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each component; of rows that repeat that id, one."""
-    found = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    """One row of each component: that of the smallest id, an id before none; of rows that repeat an id, one.
+
+    Rows have keys of their own here, in a written table, since ids may repeat or be null.
+    """
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    found = jaccard.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("h"), "row")
+    members = rows.select("row", order.alias("order")).join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    kept = members.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

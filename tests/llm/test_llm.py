@@ -295,3 +295,15 @@ def test_pipeline_runs_on_the_smallest_tables(spark):
     out = corpus_pipeline.run(spark, SF)
     kept = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     assert len(kept) > 50 and out.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
+
+
+def test_pipeline_keeps_one_row_of_each_group_and_documents_without_id(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(7)
+    text = lambda: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(500)) for _ in range(60))
+    one, two, three, four, five = (text() for _ in range(5))
+    rows = [(1, one), (1, one), (2, one + " more"), (None, one), (None, two), (None, three), (None, three + " more"), (3, four), (3, five)]
+    kept = corpus_pipeline.near_duplicates(spark, docs(spark, [(i, t, "en", "a") for i, t in rows]), SF).collect()
+    got = sorted((r["doc_id"] or 0, r["text"].removesuffix(" more")) for r in kept)
+    assert got == sorted([(1, one), (0, two), (0, three), (3, four), (3, five)])
