@@ -1,14 +1,15 @@
 """Exact Jaccard join of documents on word shingles, and its connected components.
 
-Two sets that link share at least one element of their prefixes: the first n - ceil(t n) + 1 elements in one global
-order. The order puts elements rare in the corpus first (counted in a table of fixed size), so shared passages do not
-become keys. Sets that share a key form a tile. In a tile, sizes that exclude each other are skipped, bitmaps bound the
-overlap from above, and what is left is intersected exactly as sorted arrays.
+Two sets that link share an element of their prefixes: the first n - ceil(t n) + 1 elements in one global order, which puts elements
+rare in the corpus first (counted in a table of fixed size). Let ``rem`` be the number of elements of a set from an element on. At the first
+common element of two sets, both have ``rem`` no less than the overlap that a link needs; so a pair is compared only at keys where that holds.
 
-Identical sets are one node. Since the result is components, pairs of nodes already connected are skipped: star rounds
-compare each node with a few pivots of its tiles, and only keys whose nodes are still in different components go to the
-last pass, which compares all pairs of such keys across components, in blocks. So no link between different texts is lost, and a
-group of near copies costs its size, not its square.
+Identical sets are one node. The result is components, so pairs of nodes already connected are skipped. First a star: each node is
+compared with one node, the pivot that it shares most keys with. A key's pivot in a size band is the node with the fewest rarer elements: the original
+among its copies. Then the rest, exactly: keys whose nodes are still in different components are dealt, by size band, in tiles
+of bounded size. A tile finds by sizes, ``rem`` and bitmaps which of its nodes have a possible partner in another component, and sends on those nodes, not
+pairs. Tiles with the same possible pairs are one. The texts of what is left come to their tiles, which intersect sorted arrays and send out
+only links that join components. So no link between different texts is lost, and what a task sends grows with the rows it has read.
 
 Sets are compared as sets of 64-bit shingle hashes; nodes are named by a 64-bit fingerprint.
 """
@@ -17,37 +18,23 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftline.llm.common import shared_dir, shuffle_partitions, table, written
-from riftline.llm.shingles import K, bitmap, fingerprint, overlap_bound, shingle_sets
+from riftline.llm.common import Scratch, chunks, shuffle_partitions, table
+from riftline.llm.shingles import K, bitmap, fingerprint, mix, shingle_sets
 
 PERCENT = 80
 #: Counters of the rarity order. Only the order of keys depends on them, never a result.
 COUNTERS, BLOCK = 1 << 18, 1 << 12
 BATCH_BYTES = 1 << 20
-#: Pivots of a key in each star round.
-STAR_ROUNDS = (1, 4, 4, 4)
-#: Nodes of a key and size band, or members of a star, that are compared in one group.
-TILE, STAR = 512, 256
-
-
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    """Runs of whole texts of about BATCH_BYTES, with the place of the first."""
-    at, held, size = 0, [], 0
-    for i, text in enumerate(texts):
-        held.append((text or "").encode())
-        size += len(held[-1])
-        if size >= BATCH_BYTES:
-            yield at, held
-            at, held, size = i + 1, [], 0
-    if held:
-        yield at, held
+#: Nodes, and elements of their sets, of one block of a tile; members of a star that are compared in one group.
+TILE, ELEMENTS, STAR = 4096, 1 << 21, 256
+#: Bytes of packed keys that a task sorts at a time, on average.
+SORTED = 16 << 20
 
 
 def rarity(docs: DataFrame, k: int) -> np.ndarray:
@@ -56,7 +43,7 @@ def rarity(docs: DataFrame, k: int) -> np.ndarray:
     def count(batches):
         n = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for _, texts in _chunks(batch.column(0).to_pylist()):
+            for _, texts in chunks(batch.column(0), BATCH_BYTES):
                 n += np.bincount((np.concatenate(shingle_sets(texts, k)) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
         if n.any():
             parts = [n[i : i + BLOCK].astype("<i8").tobytes() for i in range(0, COUNTERS, BLOCK)]
@@ -84,54 +71,84 @@ def prefix(s: np.ndarray, order: np.ndarray, percent: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, order: np.ndarray, k: int, percent: int) -> DataFrame:
-    """(doc_id, n, node, keys, bitmap, text) of each row. Of rows of one node, a task keeps the text of the first only."""
+    """(doc_id, n, node, keys, bitmap, text) of each row. Of rows of one node, a task keeps the text and the bitmap of the first only."""
     ranked = docs.sparkSession.sparkContext.broadcast(order)  # COUNTERS bytes
+    schema = "doc_id long, n int, node long, keys binary, bitmap binary, text string"
 
     def run(batches):
         seen: set[int] = set()
         for batch in batches:
             ids = batch.column(0)
-            for at, texts in _chunks(batch.column(1).to_pylist()):
+            for at, texts in chunks(batch.column(1), BATCH_BYTES):
                 sets = shingle_sets(texts, k)
                 names = [fingerprint(s) for s in sets]
-                own = []
-                for i, node in enumerate(names):
-                    own.append(None if node in seen else texts[i].decode())
+                fresh = []
+                for node in names:
+                    fresh.append(node not in seen)
                     seen.add(node)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), pa.array([prefix(s, ranked.value, percent).tobytes() for s in sets], pa.binary()), pa.array([bitmap(s) for s in sets], pa.binary()), pa.array(own, pa.string())],
-                    names=["doc_id", "n", "node", "keys", "bitmap", "text"],
-                )
+                columns = (
+                    (len(s) for s in sets), names, (prefix(s, ranked.value, percent).tobytes() for s in sets),
+                    (bitmap(s) if new else None for s, new in zip(sets, fresh, strict=True)), (t.decode() if new else None for t, new in zip(texts, fresh, strict=True)),
+                )
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), *(pa.array(list(c), t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.string()), strict=True))], names=["doc_id", "n", "node", "keys", "bitmap", "text"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+#: ``more``: other rows of this key were sent apart, so all of its rows stay.
+_PAIR = np.dtype([("key", "<u8"), ("node", "<i8"), ("n", "<i4"), ("rem", "<i4"), ("more", "?")])
+_FLUSH = 1 << 20
+
+
+def _cuts(key: np.ndarray) -> np.ndarray:
+    """Where equal keys of a sorted array begin, and the end."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.zeros(1, np.int64)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, node long, keys binary, bitmap binary, text string")
 
+def _once(pairs: np.ndarray) -> np.ndarray:
+    """Sorted by key and node, each once; ``more`` if any of them has it."""
+    pairs = pairs[np.lexsort((~pairs["more"], pairs["node"], pairs["key"]))]
+    return pairs[np.r_[True, (pairs["key"][1:] != pairs["key"][:-1]) | (pairs["node"][1:] != pairs["node"][:-1])]] if len(pairs) else pairs
 
-_PAIR = np.dtype([("key", "<u8"), ("node", "<i8")])
-_FLUSH = 1 << 21
 
+def _possible(pairs: np.ndarray, percent: int) -> np.ndarray:
+    """Of rows sorted by key, those that may have a partner among the rows of their key."""
+    while len(pairs):
+        cuts = _cuts(pairs["key"])
+        size = np.diff(cuts)
+        spread = lambda x, size=size: np.repeat(x, size)
+        n, rem = pairs["n"].astype(np.int64), pairs["rem"].astype(np.int64)
+        least = np.maximum(spread(np.minimum.reduceat(n, cuts[:-1])), -(-percent * n // 100))
+        keep = (spread(size) > 1) & ((100 + percent) * rem >= percent * (n + least)) | spread(np.logical_or.reduceat(pairs["more"], cuts[:-1]))
+        two = cuts[:-1][(size == 2)]
+        need = percent * (n[two] + n[two + 1])
+        bad = ((100 + percent) * np.minimum(rem[two], rem[two + 1]) < need) | (np.minimum(n[two], n[two + 1]) * 100 < np.maximum(n[two], n[two + 1]) * percent)
+        bad &= ~(pairs["more"][two] | pairs["more"][two + 1])
+        keep[two[bad]] = keep[two[bad] + 1] = False
+        if keep.all():
+            break
+        pairs = pairs[keep]
+    return pairs
 
-def shared_keys(signed: DataFrame) -> DataFrame:
-    """(key, node) of all keys that two or more nodes have.
+
+def shared_keys(signed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(key, node, n, rem) of keys that two or more nodes have, without rows that can have no partner there. A row may come twice.
 
     Keys travel packed, in ranges of keys. A task first meets its own equal keys: of those only one row goes to the range,
     and the rest, known to be shared, goes on to any range. So a key of very many nodes sends one row a task.
     """
-    parts = shuffle_partitions(signed.sparkSession)
+    size = signed.agg(F.sum(F.length("keys"))).first()[0] or 0
+    parts = max(shuffle_partitions(signed.sparkSession), -(-size * _PAIR.itemsize // 8 // SORTED))
     ranges = 8 * parts
-    schema = "bucket int, probe boolean, pairs binary"
     names = ["bucket", "probe", "pairs"]
 
-    def several(pairs: np.ndarray) -> np.ndarray:
-        same = pairs["key"][1:] == pairs["key"][:-1]
-        return np.r_[False, same] | np.r_[same, False]
-
     def deal(batches):
         held, size = [], 0
         for batch in batches:
-            nodes, keys = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            for node, own in zip(nodes, keys, strict=True):
-                pairs = np.empty(len(own) // 8, _PAIR)
-                pairs["key"], pairs["node"] = np.frombuffer(own, "<u8"), node
+            for node, n, own in zip(batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2), strict=True):
+                keys = np.frombuffer(own.as_buffer(), "<u8")
+                pairs = np.zeros(len(keys), _PAIR)
+                pairs["key"], pairs["node"], pairs["n"], pairs["rem"] = keys, node, n, n - np.arange(len(keys))
                 held.append(pairs)
                 size += len(pairs)
                 if size >= _FLUSH:
@@ -141,12 +158,11 @@ def shared_keys(signed: DataFrame) -> DataFrame:
             yield from send(held)
 
     def send(held):
-        pairs = np.concatenate(held)
-        pairs = pairs[np.lexsort((pairs["node"], pairs["key"]))]
-        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
-        shared = several(pairs)
-        first = np.r_[True, pairs["key"][1:] != pairs["key"][:-1]]
-        probes, known = pairs[first], pairs[shared]
+        pairs = _once(np.concatenate(held))
+        cuts = _cuts(pairs["key"])
+        shared = np.diff(cuts) > 1
+        pairs["more"] = np.repeat(shared, np.diff(cuts))
+        probes, known = pairs[cuts[:-1]], pairs[pairs["more"]]
         bucket = ((probes["key"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
         cuts = np.searchsorted(bucket, np.arange(ranges + 1))
         rows = [(i, True, probes[cuts[i] : cuts[i + 1]].tobytes()) for i in range(ranges) if cuts[i] < cuts[i + 1]]
@@ -155,52 +171,52 @@ def shared_keys(signed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 256], strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], names=names)
 
     def out(pairs):
-        return pa.RecordBatch.from_arrays([pa.array(pairs["key"].view("<i8")), pa.array(pairs["node"])], names=["key", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(pairs["key"].view("<i8")), *(pa.array(np.ascontiguousarray(pairs[c])) for c in ("node", "n", "rem"))], names=["key", "node", "n", "rem"])
 
     def meet(batches):
         held = []
         for batch in batches:
-            for probe, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                pairs = np.frombuffer(blob, _PAIR)
+            for probe, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                pairs = np.frombuffer(blob.as_buffer(), _PAIR)
                 if probe:
-                    held.append(pairs)
+                    held.append(pairs.copy())
                 else:
                     yield out(pairs)
         if held:
-            pairs = np.concatenate(held)
-            pairs = pairs[np.lexsort((pairs["node"], pairs["key"]))]
-            pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
-            pairs = pairs[several(pairs)]
-            for i in range(0, len(pairs), 1 << 18):
-                yield out(pairs[i : i + (1 << 18)])
+            pairs = _possible(_once(np.concatenate(held)), percent)
+            for i in range(0, len(pairs), 1 << 16):
+                yield out(pairs[i : i + (1 << 16)])
 
-    return signed.where("n > 0").select("node", "keys").mapInArrow(deal, schema).repartition(parts, "bucket").mapInArrow(meet, "key long, node long")
+    return signed.where("n > 0").select("node", "n", "keys").mapInArrow(deal, "bucket int, probe boolean, pairs binary").repartition(parts, "bucket").mapInArrow(meet, "key long, node long, n int, rem int")
 
 
 def distinct_members(keys: DataFrame) -> DataFrame:
-    """keys without those whose nodes are exactly another key's, by two 64-bit sums over the nodes and their count."""
+    """(key, node, n, rem, weight): of keys with the same nodes (by two 64-bit sums and their count), the first in the global order, with their number as weight.
+
+    Two nodes share all of them, so their first common element is the one where ``rem`` is largest.
+    """
     total = lambda seed: F.expr(f"bit_xor(xxhash64(node, {seed}))")
-    members = keys.groupBy("key").agg(total(1).alias("x"), total(2).alias("y"), F.count("*").alias("m"))
-    kept = members.groupBy("x", "y", "m").agg(F.min("key").alias("key")).select("key")
-    return keys.join(kept, "key", "left_semi")
+    members = keys.groupBy("key").agg(total(1).alias("x"), total(2).alias("y"), F.count("*").alias("m"), F.sum("rem").alias("rems")).where("m > 1")
+    kept = members.groupBy("x", "y", "m").agg(F.max(F.struct("rems", "key")).alias("first"), F.count("*").alias("weight"))
+    return keys.join(kept.select(F.col("first.key").alias("key"), "weight"), "key")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label): the smallest node that each node of a link reaches. Labels spread along links, and jump to their label's label."""
-    both = written(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
+    both = scratch.written(links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct(), "links")
+    labels = scratch.written(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "labels")
     while True:
         seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        spread = written(labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("next")), "labels")
+        spread = scratch.written(labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", "label", F.least("label", "near").alias("next")), "labels")
         jump = spread.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        after = written(spread.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")), "labels")
+        after = scratch.written(spread.join(jump, "next").select("node", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")), "labels")
         labels = after.select("node", "label")
-        if not after.where("moved").limit(1).count():
+        if after.where("moved").isEmpty():
             return labels
 
 
-def node_texts(signed: DataFrame, met: DataFrame) -> tuple[DataFrame, str]:
-    """(node, text), one row for each node of met, bucketed by node so that no later join shuffles texts; and the table's name."""
+def node_texts(signed: DataFrame, met: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
+    """(node, bitmap, text), one row for each node of met, bucketed by node so that no later join shuffles texts; and the table's name."""
     spark = signed.sparkSession
 
     def once(batches):
@@ -213,179 +229,259 @@ def node_texts(signed: DataFrame, met: DataFrame) -> tuple[DataFrame, str]:
             yield batch.filter(pa.array(fresh, pa.bool_()))
 
     name, parts = f"riftline_texts_{uuid.uuid4().hex}", shuffle_partitions(spark)
-    held = signed.where("n > 0 AND text IS NOT NULL").select("node", "text").join(met, "node", "left_semi")
-    held.repartition(parts, "node").mapInArrow(once, "node long, text string").write.bucketBy(parts, "node").option("path", f"{shared_dir(spark)}/riftline/{name}").saveAsTable(name)
+    held = signed.where("n > 0 AND text IS NOT NULL").select("node", "bitmap", "text").join(met, "node", "left_semi")
+    held.repartition(parts, "node").mapInArrow(once, "node long, bitmap binary, text string").write.bucketBy(parts, "node").option("path", scratch.path("texts")).saveAsTable(name)
     return spark.table(name), name
 
 
-def _fits(a: str, b: str, percent: int):
-    return (F.least(a, b) * 100 >= F.greatest(a, b) * percent)
+def _step(percent: int) -> float:
+    """Width of a size band, as a logarithm: sizes that can link are in one band or in two neighbours."""
+    return max(1e-6, 1.0001 * math.log(100 / percent))
 
 
-def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose sizes and bitmaps leave a link possible; of those of each a, the one of the highest bound."""
-    of = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bitmap_{c}"))
+def _band(percent: int):
+    return F.floor(F.log(F.col("n").cast("double")) / _step(percent)).cast("int")
 
-    def run(batches):
-        for batch in batches:
-            a, b, n_a, n_b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "n_a", "n_b", "bitmap_a", "bitmap_b"))
-            bound = [overlap_bound(x[i], n_a[i], y[i], n_b[i]) for i in range(len(a))]
-            keep = [i for i in range(len(a)) if (100 + percent) * bound[i] >= percent * (n_a[i] + n_b[i])]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()), pa.array([bound[i] / (n_a[i] + n_b[i]) for i in keep], pa.float64())], names=["a", "b", "bound"])
 
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(_fits("n_a", "n_b", percent)).mapInArrow(run, "a long, b long, bound double").groupBy("a").agg(F.max(F.struct("bound", "b")).alias("best")).select("a", "best.b")
+def _overlaps(rem, n, m, percent: int):
+    """Whether a node of n elements, rem of them from a key on, can link with one of m elements of which that key is the first common one."""
+    return rem * (100 + percent) >= (n + m) * percent
+
 
+def star(keys: DataFrame, percent: int) -> DataFrame:
+    """(a, b): for each node the pivot that it shares most keys with, of those that it can link with."""
+    banded = keys.withColumn("band", _band(percent))
+    first = F.struct((F.col("rem") / F.col("n")).alias("central"), F.xxhash64("node").alias("h"), "node", "n", "rem")
+    chosen = banded.groupBy("key", "band").agg(F.max(first).alias("p"))
+    chosen = chosen.select("key", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("p.node").alias("b"), F.col("p.n").alias("m"), F.col("p.rem").alias("m_rem"))
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
+    met = banded.join(chosen, ["key", "band"]).where((F.col("node") != F.col("b")) & fits & _overlaps(F.col("rem"), F.col("n"), F.col("m"), percent) & _overlaps(F.col("m_rem"), F.col("m"), F.col("n"), percent))
+    counted = met.groupBy(F.col("node").alias("a"), "b").agg(F.sum("weight").alias("weight"))
+    return counted.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best")).select("a", "best.b")
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+
+def _common(s: np.ndarray, t: np.ndarray) -> int:
+    """Elements common to two sorted arrays."""
+    if len(s) > len(t):
+        s, t = t, s
+    place = np.searchsorted(t, s)
+    return int((t[np.minimum(place, len(t) - 1)] == s).sum())
+
+
+def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """Of pairs (a, b), those that link, by intersecting the sorted arrays of their whole texts.
 
     The members of b are dealt in groups of about STAR, and b goes to each of them, so a hot b does not land in one task.
     """
-    pairs = written(pairs, "pairs")
-    heads = pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / STAR).cast("int").alias("groups"))
+    pairs = scratch.written(pairs, "pairs")
+    heads = scratch.written(pairs.groupBy("b").agg(F.count("*").alias("n")).select("b", F.ceil(F.col("n") / STAR).cast("int").alias("groups")), "heads")
     members = pairs.join(heads, "b").select("b", F.pmod(F.xxhash64("a"), F.col("groups")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("a").alias("node"))
     first = heads.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("part"), F.lit(0).alias("role"), F.col("b").alias("node"))
-    rows = members.unionByName(first).join(texts, "node").select("b", "part", "role", "node", "text")
+    rows = members.unionByName(first).join(texts.select("node", "text"), "node").select("b", "part", "role", "node", "text")
 
     def run(batches):
         head = (None, np.empty(0, np.uint64))
         for batch in batches:
-            b, role, node, texts = (batch.column(c).to_pylist() for c in ("b", "role", "node", "text"))
-            for at, chunk in _chunks(texts):
-                found = []
+            b, role, node = (batch.column(c).to_pylist() for c in ("b", "role", "node"))
+            found = []
+            for at, chunk in chunks(batch.column("text"), BATCH_BYTES):
                 for i, s in enumerate(shingle_sets(chunk, k), at):
                     if role[i] == 0:
-                        if fingerprint(s) == b[i]:
-                            head = (b[i], s)
-                    elif head[0] == b[i] and fingerprint(s) == node[i]:
-                        other = head[1]
-                        place = np.searchsorted(other, s)
-                        common = int((other[np.minimum(place, len(other) - 1)] == s).sum())
-                        if 100 * common >= percent * (len(s) + len(other) - common):
+                        head = (b[i], s)
+                    elif head[0] == b[i]:
+                        common = _common(s, head[1])
+                        if 100 * common >= percent * (len(s) + len(head[1]) - common):
                             found.append((node[i], b[i]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in found], pa.int64()) for j in (0, 1)], names=["a", "b"])
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "b", "part").sortWithinPartitions("b", "part", "role")
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def across(keys: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of nodes that share a key, are in different components and pass the bounds.
+class Tile:
+    """The nodes of a key and cell, of one block or of two: their pairs that may link across components."""
 
-    keys: (key, node, label). Sizes that can link lie in one size band or in two neighbours: the cell of a band holds its own nodes
-    (role 0) and those of the next band (role 1). The nodes of a cell are dealt in blocks of about TILE, and each two blocks meet in a tile.
+    STRIP = 1 << 20
+
+    def __init__(self, rows: list[tuple], bitmaps: list[bytes], blocks: tuple[int, int], percent: int):
+        self.node, self.label, self.n, self.rem, self.role, self.own = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        self.bitmaps, self.two, self.percent = bitmaps, blocks[0] != blocks[1], percent
+
+    def pairs(self):
+        """(i, j, bound) arrays, by strips. Of two blocks, one node is of each. Each bitmap is folded to the narrower width of its pair."""
+        by_width: dict[int, list[int]] = {}
+        for i, b in enumerate(self.bitmaps):
+            by_width.setdefault(len(b), []).append(i)
+        bits = {w: np.frombuffer(b"".join(self.bitmaps[i] for i in at), np.uint64).reshape(len(at), -1) for w, at in by_width.items()}
+        for w in by_width:
+            for v in by_width:
+                if v >= w:
+                    y = bits[v]
+                    while y.shape[1] > bits[w].shape[1]:
+                        y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
+                    yield from self._between(np.array(by_width[w]), bits[w], np.array(by_width[v]), y, v == w)
+
+    def _between(self, at, x, other, y, same):
+        p, strip = self.percent, max(1, self.STRIP // len(other))
+        for lo in range(0, len(at), strip):
+            one, two = at[lo : lo + strip][:, None], other[None, :]
+            n, m = self.n[one], self.n[two]
+            fits = (np.minimum(n, m) * 100 >= np.maximum(n, m) * p) & (self.label[one] != self.label[two]) & (self.role[one] + self.role[two] < 2)
+            fits &= np.minimum(self.rem[one], self.rem[two]) * (100 + p) >= (n + m) * p
+            if self.two:
+                fits &= self.own[one] != self.own[two]
+            if same:
+                fits &= one < two
+            i, j = np.nonzero(fits)
+            size = max(1, (1 << 19) // x.shape[1])
+            for k in range(0, len(i), size):
+                r, c = i[k : k + size], j[k : k + size]
+                a, b = x[lo + r], y[c]
+                both = a & b
+                n_a, n_b = n[r, 0], m[0, c]
+                bound = np.minimum(n_a - np.bitwise_count(a ^ both).sum(1, dtype=np.int64), n_b - np.bitwise_count(b ^ both).sum(1, dtype=np.int64))
+                ok = (100 + p) * bound >= p * (n_a + n_b)
+                yield at[lo + r[ok]], other[c[ok]], bound[ok] / (n_a[ok] + n_b[ok])
+
+
+_TILE = ("key", "cell", "i", "j")
+_ROW = ("node", "label", "n", "rem", "role", "own")
+
+
+def _tiles(batches, payloads):
+    """(tile, rows, payloads) of each tile with several rows, from batches sorted by tile."""
+    of, rows, data = None, [], []
+    for batch in batches:
+        lists = lambda names, batch=batch: zip(*(batch.column(c).to_pylist() for c in names), strict=True)
+        for tile, row, payload in zip(lists(_TILE), lists(_ROW), payloads(batch), strict=True):
+            if tile != of:
+                if len(rows) > 1:
+                    yield of, rows, data
+                of, rows, data = tile, [], []
+            rows.append(row)
+            data.append(payload)
+    if len(rows) > 1:
+        yield of, rows, data
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), *_TILE).sortWithinPartitions(*_TILE)
+
+
+def tiles(keys: DataFrame, texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """keys (key, node, n, rem, label) dealt in tiles, with bitmaps; without tiles of one component and rows that can have no partner in theirs.
+
+    The cell of a band holds its own nodes (role 0) and those of the next band (role 1). The nodes of a cell are dealt in blocks of about TILE nodes
+    and ELEMENTS elements, and each two blocks meet in a tile.
     """
-    step = max(1e-6, 1.0001 * math.log(100 / percent))
     cell = lambda band, role: F.struct(band.cast("int").alias("cell"), F.lit(role).alias("role"))
-    band = F.floor(F.log(F.col("n").cast("double")) / step)
-    rows = written(keys.join(nodes.select("node", "n", "bitmap"), "node").withColumn("_c", F.explode(F.array(cell(band, 0), cell(band - 1, 1)))).select("key", "_c.cell", "_c.role", "node", "label", "n", "bitmap"), "cells")
-    found = rows.groupBy("key", "cell").agg(F.count("*").alias("members"), F.min("role").alias("least"), F.min("label").alias("x"), F.max("label").alias("y"))
-    mixed = found.where("least = 0 AND x != y").select("key", "cell", F.ceil(F.col("members") / TILE).cast("int").alias("blocks"))
+    rows = keys.withColumn("_c", F.explode(F.array(cell(_band(percent), 0), cell(_band(percent) - 1, 1)))).select("key", "_c.cell", "_c.role", "node", "label", "n", "rem")
+    least = lambda of: F.greatest(of, F.col("n") * percent / 100)
+    # Partners of a row are no smaller than its cell begins.
+    rows = scratch.written(rows.where(_overlaps(F.col("rem"), F.col("n"), least(F.exp(F.col("cell") * _step(percent)) * (1 - 1e-6)), percent)), "cells")
+    found = rows.groupBy("key", "cell").agg(F.count("*").alias("members"), F.sum("n").alias("elements"), F.min("n").alias("least_n"), F.min("role").alias("least"), F.min("label").alias("x"), F.max("label").alias("y"))
+    blocks = F.greatest(F.ceil(F.col("members") / TILE), F.ceil(F.col("elements") / ELEMENTS)).cast("int")
+    mixed = scratch.written(found.where("least = 0 AND x != y").select("key", "cell", blocks.alias("blocks"), "least_n"), "mixed")
+    held = rows.join(mixed, ["key", "cell"]).where(_overlaps(F.col("rem"), F.col("n"), least(F.col("least_n")), percent)).join(texts.select("node", "bitmap"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    tiles = rows.join(mixed, ["key", "cell"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = tiles.select("key", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "label", "n", "bitmap", "role", "own")
+    dealt = held.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("key", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *_ROW, "bitmap")
 
-    def compare(rows, two_blocks):
-        """Pairs of one tile: of two blocks, those of one node of each; each bitmap is folded to the narrower width of its pair."""
-        label, size, role, own = (np.array([r[c] for r in rows]) for c in (1, 2, 4, 5))
-        by_width: dict[int, list[int]] = {}
-        for i, r in enumerate(rows):
-            by_width.setdefault(len(r[3]), []).append(i)
-        bits = {w: np.frombuffer(b"".join(rows[i][3] for i in at), np.uint64).reshape(len(at), -1) for w, at in by_width.items()}
-        for w, at in by_width.items():
-            for v, other in by_width.items():
-                if v < w:
-                    continue
-                x, y = bits[w], bits[v]
-                n_x, n_y = size[at][:, None], size[other][None, :]
-                fits = (np.minimum(n_x, n_y) * 100 >= np.maximum(n_x, n_y) * percent) & (label[at][:, None] != label[other][None, :]) & (role[at][:, None] + role[other][None, :] < 2)
-                if two_blocks:
-                    fits &= own[at][:, None] != own[other][None, :]
-                if v == w:
-                    fits = np.triu(fits, 1)
-                i, j = np.nonzero(fits)
-                while len(i) and y.shape[1] > x.shape[1]:
-                    y = y[:, : y.shape[1] // 2] | y[:, y.shape[1] // 2 :]
-                for k in range(0, len(i), 4096):
-                    p, q = i[k : k + 4096], j[k : k + 4096]
-                    both = x[p] & y[q]
-                    lost_x = np.bitwise_count(x[p] ^ both).sum(1, dtype=np.int64)
-                    lost_y = np.bitwise_count(y[q] ^ both).sum(1, dtype=np.int64)
-                    bound = np.minimum(n_x[p, 0] - lost_x, n_y[0, q] - lost_y)
-                    for r in np.flatnonzero((100 + percent) * bound >= percent * (n_x[p, 0] + n_y[0, q])).tolist():
-                        one, two = rows[at[p[r]]][0], rows[other[q[r]]][0]
-                        yield max(one, two), min(one, two)
+
+def possible(dealt: DataFrame, percent: int) -> DataFrame:
+    """The rows of tiles that have a possible partner in another component, each tile with a hash of its possible pairs."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32())
+    names = (*_TILE, "pairs", *_ROW)
 
     def run(batches):
-        held, of = [], None
-        for batch in batches:
-            found = []
-            for key, cell, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "cell", "i", "j", "node", "label", "n", "bitmap", "role", "own")), strict=True):
-                if (key, cell, i, j) != of:
-                    if len(held) > 1:
-                        found += compare(held, of[2] != of[3])
-                    held, of = [], (key, cell, i, j)
-                held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
-        found = list(compare(held, of[2] != of[3])) if len(held) > 1 else []
+        out: list[tuple] = []
+        for tile, rows, bitmaps in _tiles(batches, lambda b: b.column("bitmap").to_pylist()):
+            t = Tile(rows, bitmaps, tile[2:], percent)
+            some, name = np.zeros(len(rows), bool), np.uint64(0)
+            for i, j, _ in t.pairs():
+                some[i] = some[j] = True
+                low, high = np.minimum(t.node[i], t.node[j]), np.maximum(t.node[i], t.node[j])
+                name = name + mix(mix(low.astype(np.uint64)) + high.astype(np.uint64)).sum(dtype=np.uint64)
+            out += [(*tile, int(name.astype(np.int64)), *rows[i]) for i in np.flatnonzero(some).tolist()]
+            if len(out) > 8192:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+    return _dealt(dealt).mapInArrow(run, "key long, cell int, i int, j int, pairs long, node long, label long, n int, rem int, role int, own int")
+
+
+def across(open_keys: DataFrame, texts: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join all components that share a link at open_keys (key, node, n, rem, label)."""
+    left = scratch.written(possible(tiles(open_keys, texts, percent, scratch), percent), "possible")
+    tile = F.struct(*_TILE)
+    members = left.groupBy("pairs", *_TILE).agg(F.count("*").alias("members"))
+    kept = members.groupBy("pairs", "members").agg(F.min(tile).alias("tile")).select("tile.*")
+    kept = scratch.written(kept, "tiles")
+    rows = left.join(kept, list(_TILE), "left_semi").join(texts.select("node", "text"), "node").select(*_TILE, *_ROW, "text")
+
+    def sets(batch):
+        for _, chunk in chunks(batch.column("text"), BATCH_BYTES):
+            yield from shingle_sets(chunk, k)
+
+    def run(batches):
+        found: list[tuple[int, int]] = []
+        for tile, rows, held in _tiles(batches, sets):
+            t, up = Tile(rows, [bitmap(s) for s in held], tile[2:], percent), {}
+
+            def root(x, up=up):
+                while x in up:
+                    x = up[x]
+                return x
+
+            for i, j, bound in t.pairs():
+                order = np.lexsort((j, i, -bound))
+                for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                    x, y = root(rows[a][1]), root(rows[b][1])
+                    if x != y:
+                        common = _common(held[a], held[b])
+                        if 100 * common >= percent * (len(held[a]) + len(held[b]) - common):
+                            up[max(x, y)] = min(x, y)
+                            found.append((max(rows[a][0], rows[b][0]), min(rows[a][0], rows[b][0])))
         yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    dealt = tiles.repartition(shuffle_partitions(keys.sparkSession), "key", "cell", "i", "j").sortWithinPartitions("key", "cell", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return _dealt(rows).mapInArrow(run, "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
+def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, with_star: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; other columns are ignored).
 
     Words are runs of other than ASCII white space, with A-Z lower-cased. A document of fewer than k words has one shingle.
     Null and empty texts have no shingle, link with nothing and are their own component. Rows with equal texts link.
-    Two documents link when 100 * intersection >= percent * union. An empty table gives no rows.
+    Two documents link when 100 * intersection >= percent * union. An empty table gives no rows. Without the star the exact pass does all.
     """
-    spark = docs.sparkSession
-    shared_dir(spark)
-    signed = written(signatures(docs, rarity(docs, k), k, percent), "signatures")
-    classes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    keys = written(distinct_members(written(shared_keys(signed).distinct(), "shared")), "keys")
-    met = keys.select("node").distinct()
-    firsts = written(met.join(classes, "node"), "firsts")
-    own = signed.select("node", F.col("doc_id").alias("least_id"), "n", "bitmap").where("n > 0")
-    nodes = written(own.join(firsts, ["node", "least_id"], "left_semi").dropDuplicates(["node"]), "nodes")
-    texts, texts_name = node_texts(signed, met)
-
-    labels, open_keys = None, keys.withColumn("label", F.col("node"))
-    for turn, pivots in enumerate((*STAR_ROUNDS, 0)):
-        if pivots:
-            # A pivot of a key is its node of the smallest hash, by another hash for each pivot. Each node is compared with a few pivots of other components.
-            rank = lambda p, turn=turn: F.struct(F.xxhash64(F.lit(turn), F.lit(p), "node").alias("h"), "node", "label")
-            chosen = open_keys.groupBy("key").agg(*[F.min(rank(p)).alias(f"p{p}") for p in range(pivots)])
-            met = open_keys.join(chosen, "key").groupBy("node").agg(*[F.min(F.when(F.col("label") != F.col(f"p{p}.label"), F.col(f"p{p}"))).alias(f"p{p}") for p in range(pivots)])
-            pairs = met.select(F.col("node").alias("a"), F.explode(F.array(*[F.col(f"p{p}.node") for p in range(pivots)])).alias("b")).where("b IS NOT NULL").distinct()
-            found = verified(bounded(pairs, nodes, percent), texts, k, percent)
-        else:
-            found = verified(across(open_keys, nodes, percent), texts, k, percent)
-        if labels is None:
-            labels = components(found)
-        else:  # links between components are few: join those, then rename
+    with Scratch(docs.sparkSession) as scratch:
+        signed = scratch.written(signatures(docs, rarity(docs, k), k, percent), "signatures")
+        keys = scratch.written(distinct_members(scratch.written(shared_keys(signed, percent, scratch).distinct(), "shared")), "keys")
+        texts, texts_name = node_texts(signed, keys.select("node").distinct(), scratch)
+        try:
+            labels = components(verified(star(keys, percent) if with_star else star(keys, percent).limit(0), texts, k, percent, scratch), scratch)
+            named = scratch.written(keys.join(labels, "node", "left").select("key", "node", "n", "rem", F.coalesce("label", "node").alias("label")), "named")
+            mixed = scratch.written(named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key"), "mixed")
+            more = scratch.written(across(named.join(mixed, "key", "left_semi"), texts, k, percent, scratch), "more")
+        finally:
+            docs.sparkSession.sql(f"DROP TABLE IF EXISTS {texts_name}")
+        if not more.isEmpty():  # few: join those, then rename
             of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
-            named = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
-            named = named.select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b")).where("a != b").distinct()
-            again = components(named)
+            joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+            again = components(joined.where("a != b"), scratch)
             loose = again.join(labels.select(F.col("label").alias("node")).distinct(), "node", "left_anti")
-            renamed = labels.join(again.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
-            labels = written(renamed.unionByName(loose), "labels")
-        if pivots:
-            marked = open_keys.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-            mixed = marked.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-            open_keys = written(marked.join(mixed, "key", "left_semi").distinct(), "open")
-            if not open_keys.limit(1).count():
-                break
-    spark.sql(f"DROP TABLE IF EXISTS {texts_name}")
-
-    least = labels.join(classes, "node")
-    smallest = least.groupBy("label").agg(F.min("least_id").alias("smallest"))
-    of_node = classes.join(labels.join(smallest, "label").select("node", "smallest"), "node", "left").select("node", F.coalesce("smallest", "least_id").alias("component_id"))
-    full = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    return full.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+            labels = labels.join(again.toDF("label", "next"), "label", "left").select("node", F.coalesce("next", "label").alias("label")).unionByName(loose)
+
+        classes = signed.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least_id"))
+        least = scratch.written(labels.join(classes, "node"), "least")
+        smallest = least.groupBy("label").agg(F.min("least_id").alias("smallest"))
+        of_node = classes.join(least.join(smallest, "label").select("node", "smallest"), "node", "left").select("node", F.coalesce("smallest", "least_id").alias("component_id"))
+        of_node = scratch.written(of_node, "classes")
+        full = signed.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("node")).alias("node"))
+        out = full.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        return scratch.written(out, "components", keep=True)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

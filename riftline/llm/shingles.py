@@ -23,13 +23,18 @@ _BYTE[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _powers = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Powers that a worker keeps; longer runs of text compute theirs.
+_KEPT = 1 << 21
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers
-    if len(_powers[0]) < n:
-        _powers = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)]) for base in (_BASE, _INVERSE))
-    return _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    made = tuple(np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, base, np.uint64)]) for base in (_BASE, _INVERSE))
+    if n <= _KEPT:
+        _powers = made
+    return made
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -75,8 +80,8 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def width(n: int) -> int:
-    """Bits of the bitmap of a set of n: a power of two for its size band."""
-    return min(1 << 14, max(256, 1 << (n - 1).bit_length())) if n else 256
+    """Bits of the bitmap of a set of n: four to eight for each element, a power of two, within bounds."""
+    return min(1 << 16, max(256, 4 << (n - 1).bit_length())) if n else 256
 
 
 def bitmap(s: np.ndarray) -> bytes:
