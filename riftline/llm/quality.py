@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riftline.llm.common import table
-from riftline.llm.jaccard import _chunks
+from riftline.llm.common import chunks, table
 from riftline.llm.shingles import word_hashes
 
 DIM = 1 << 16
+BATCH_BYTES = 1 << 20
 #: Bound of the labelled sample.
 TRAIN_DOCS = 6000
 #: A document is selected if the probability of the highest grade is at least this.
@@ -78,7 +78,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, max_docs: int = TRAI
 
     def sparse(batches):
         for batch in batches:
-            for at, texts in _chunks(batch.column(2).to_pylist()):
+            for at, texts in chunks(batch.column(2), BATCH_BYTES):
                 starts, columns, values = features(texts)
                 cells = [(columns[a:b].tolist(), values[a:b].tolist()) for a, b in itertools.pairwise(starts.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), batch.column(1).slice(at, len(texts)), pa.array([c for c, _ in cells], pa.list_(pa.int32())), pa.array([v for _, v in cells], pa.list_(pa.float64()))], names=["doc_id", "grade", "columns", "values"])
@@ -107,7 +107,7 @@ def grade(docs: DataFrame, model: Ordinal, least_tail: float = LEAST_TAIL) -> Da
 
     def run(batches):
         for batch in batches:
-            for at, texts in _chunks(batch.column(batch.num_columns - 1).to_pylist()):
+            for at, texts in chunks(batch.column(batch.num_columns - 1), BATCH_BYTES):
                 starts, cols, values = features(texts)
                 tails = 1 - fitted.value.below(_sums(starts, fitted.value.w[cols] * values))
                 out = [tails.sum(1), *tails.T, tails[:, -1] >= least_tail]

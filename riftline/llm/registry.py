@@ -17,4 +17,4 @@ QUERIES = {
     "op10_pack_documents": packing.op10_pack_documents,
 }
 
-ORACLES = {"op8_mix_sources": mixing.ORACLE}
+ORACLES = {"op4_jaccard_join": jaccard.ORACLE, "op8_mix_sources": mixing.ORACLE}
