@@ -36,15 +36,22 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 class Scratch:
-    """Written tables of one computation. On leaving it, whether it ended well or not, all go but those kept for a lazy result."""
+    """Written tables of one computation. On leaving it, whether it ended well or not, all go but those kept for a lazy result.
+
+    While it is open, shuffle files go as soon as the query that wrote them ends, and Arrow batches are small.
+    """
 
     #: Folders kept for lazy results, until release().
     kept: list[str] = []
+    SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
     def __init__(self, spark: SparkSession):
         self.spark, self.paths = spark, {}
 
     def __enter__(self) -> Scratch:
+        self.before = {k: self.spark.conf.get(k, None) for k in self.SETTINGS}
+        for k, v in self.SETTINGS.items():
+            self.spark.conf.set(k, v)
         return self
 
     def path(self, name: str, keep: bool = False) -> str:
@@ -55,10 +62,21 @@ class Scratch:
     def written(self, df: DataFrame, name: str, keep: bool = False) -> DataFrame:
         """Write a table to the shared folder and read it back: later stages survive the loss of any executor."""
         path, schema = self.path(name, keep), df.schema
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
+    def drop(self, name: str) -> None:
+        """Delete the tables of this name, which nothing will read again."""
+        for path in [p for p in self.paths if p.rsplit("/", 1)[1].startswith(f"{name}-")]:
+            delete(self.spark, path)
+            del self.paths[path]
+
     def __exit__(self, failed, *_) -> None:
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
         for path, keep in self.paths.items():
             if keep and not failed:
                 Scratch.kept.append(path)

@@ -230,7 +230,7 @@ def node_texts(signed: DataFrame, met: DataFrame, scratch: Scratch) -> tuple[Dat
 
     name, parts = f"riftline_texts_{uuid.uuid4().hex}", shuffle_partitions(spark)
     held = signed.where("n > 0 AND text IS NOT NULL").select("node", "bitmap", "text").join(met, "node", "left_semi")
-    held.repartition(parts, "node").mapInArrow(once, "node long, bitmap binary, text string").write.bucketBy(parts, "node").option("path", scratch.path("texts")).saveAsTable(name)
+    held.repartition(parts, "node").mapInArrow(once, "node long, bitmap binary, text string").write.bucketBy(parts, "node").option("compression", "zstd").option("path", scratch.path("texts")).saveAsTable(name)
     return spark.table(name), name
 
 
@@ -459,7 +459,10 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, with
     with Scratch(docs.sparkSession) as scratch:
         signed = scratch.written(signatures(docs, rarity(docs, k), k, percent), "signatures")
         keys = scratch.written(distinct_members(scratch.written(shared_keys(signed, percent, scratch).distinct(), "shared")), "keys")
+        scratch.drop("shared")
         texts, texts_name = node_texts(signed, keys.select("node").distinct(), scratch)
+        signed = scratch.written(signed.select("doc_id", "n", "node"), "nodes")
+        scratch.drop("signatures")
         try:
             labels = components(verified(star(keys, percent) if with_star else star(keys, percent).limit(0), texts, k, percent, scratch), scratch)
             named = scratch.written(keys.join(labels, "node", "left").select("key", "node", "n", "rem", F.coalesce("label", "node").alias("label")), "named")
@@ -467,6 +470,7 @@ def jaccard_components(docs: DataFrame, k: int = K, percent: int = PERCENT, with
             more = scratch.written(across(named.join(mixed, "key", "left_semi"), texts, k, percent, scratch), "more")
         finally:
             docs.sparkSession.sql(f"DROP TABLE IF EXISTS {texts_name}")
+            scratch.drop("texts")
         if not more.isEmpty():  # few: join those, then rename
             of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
             joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))

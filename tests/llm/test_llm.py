@@ -55,10 +55,30 @@ def test_jaccard_equals_brute_force(spark, odd):
 
 
 def test_jaccard_last_pass_equals_brute_force(spark, odd, monkeypatch):
-    monkeypatch.setattr(jaccard, "STAR_ROUNDS", ())
     monkeypatch.setattr(jaccard, "TILE", 3)
-    got = sorted(map(tuple, jaccard.jaccard_components(odd).collect()))
+    got = sorted(map(tuple, jaccard.jaccard_components(odd, with_star=False).collect()))
     assert got == brute_components([(r["doc_id"], r["text"]) for r in odd.collect()])
+    assert jaccard.jaccard_components(odd.limit(0)).count() == 0
+
+
+def test_jaccard_of_chains_of_edits_equals_brute_force(spark, monkeypatch):
+    """Copies whose links run through other copies, among texts that share long passages but do not link."""
+    rnd = random.Random(9)
+    word = lambda: rnd.choice("abcdefgh") + str(rnd.randrange(200))
+    passage, rows = [word() for _ in range(30)], []
+    for family in range(8):
+        text = [word() for _ in range(60)] + passage
+        for _ in range(9):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            for _ in range(rnd.choice((1, 2, 3))):
+                text[rnd.randrange(60)] = word()
+    want = brute_components(rows)
+    assert len({c for _, _, c in want}) > 8
+    table = docs(spark, [(i, t, "en", "a") for i, t in rows])
+    assert sorted(map(tuple, jaccard.jaccard_components(table).collect())) == want
+    monkeypatch.setattr(jaccard, "ELEMENTS", 400)
+    assert sorted(map(tuple, jaccard.jaccard_components(table, with_star=False).collect())) == want
 
 
 def test_bitmap_bound_is_never_below_the_overlap():
@@ -132,26 +152,52 @@ def test_language(spark, odd):
     assert langid.predict(odd, langid.train(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
-def test_code_lengths_are_escapes_and_shares():
-    counts = np.zeros((langid.SYMBOLS,) * 4, np.int64)
-    counts[1, 1, 1, 2] = 3
-    bits = langid.code_lengths(counts.reshape(-1)).reshape(counts.shape)
-    assert bits[1, 1, 1, 2] == pytest.approx(-np.log2(3 / 4))
-    assert bits[5, 5, 5, 2] == pytest.approx(-np.log2(3 / 4))  # contexts never seen cost nothing
-    assert bits[1, 1, 1, 3] == pytest.approx(4 * 2 + np.log2(langid.SYMBOLS))  # four escapes of 1 / 4
-
-
-def test_scores_do_not_depend_on_batches():
+def plain_code_length(trained, text, order=langid.ORDER):
+    """Bits of a text by contexts in dictionaries."""
+    counts = collections.defaultdict(collections.Counter)
+    for t in trained:
+        padded = bytes([langid.PAD]) * order + t
+        for i in range(order, len(padded)):
+            for k in range(order + 1):
+                counts[padded[i - k : i]][padded[i]] += 1
+    bits, padded = 0.0, bytes([langid.PAD]) * order + text
+    for i in range(order, len(padded)):
+        for k in range(order, -2, -1):
+            if k < 0:
+                bits += 8
+                break
+            seen = counts.get(padded[i - k : i])
+            if not seen:
+                continue
+            total, distinct = sum(seen.values()), len(seen)
+            if padded[i] in seen:
+                bits -= np.log2(seen[padded[i]] / (total + distinct))
+                break
+            bits -= np.log2(distinct / (total + distinct))
+    return bits
+
+
+def test_code_lengths_equal_a_plain_model(spark):
+    known = {"a": ["the cat sat on the mat", "THE mat, the hat."], "b": ["кот сидел на ковре", "и ковёр"], "c": ["", "x"]}
+    rows = [(10 * k + i, t, lang, "s") for k, (lang, texts) in enumerate(known.items()) for i, t in enumerate(texts)]
+    model = langid.train(docs(spark, rows))
+    texts = ["the kit sat", "кот и THE cat", "", "x", "€ 日本語", "the mat " * 40]
+    data = [t.encode() for t in texts]
+    got = model.score(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    for k, (_, trained) in enumerate(known.items()):
+        assert got[:, k] == pytest.approx([plain_code_length([t.encode() for t in trained], t) for t in data], rel=1e-5, abs=1e-5)
+
+
+def test_scores_do_not_depend_on_batches(monkeypatch):
     rs = np.random.RandomState(0)
-    texts = [bytes(rs.randint(97, 123, n).astype(np.uint8)) for n in (0, 1, 5, 300, 0, 70)]
-    model = langid.Model(["a", "b"], langid._fold([]), rs.rand(langid.SYMBOLS**4, 2).astype(np.float32))
-    offsets = np.cumsum([0, *map(len, texts)])
-    whole = model.score(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    old, langid.CHUNK = langid.CHUNK, 37
-    try:
-        assert np.allclose(model.score(np.frombuffer(b"".join(texts), np.uint8), offsets), whole)
-    finally:
-        langid.CHUNK = old
+    texts = [bytes(rs.randint(97, 101, n).astype(np.uint8)) for n in (0, 1, 5, 300, 0, 70)]
+    made = langid.grams(np.frombuffer(texts[3], np.uint8), np.zeros(1, np.int64))
+    offsets, data = np.cumsum([0, *map(len, texts)]), np.frombuffer(b"".join(texts), np.uint8)
+    fresh = lambda: langid.Model(["a", "b"], [langid.Tree(*np.unique(made, return_counts=True)), langid.Tree(*np.unique(made[:50], return_counts=True))])
+    whole = fresh().score(data, offsets)
+    monkeypatch.setattr(langid, "CHUNK", 37)
+    monkeypatch.setattr(langid, "REMEMBERED", 64)
+    assert np.allclose(fresh().score(data, offsets), whole, rtol=1e-5)
 
 
 def naive_statistics(text):
@@ -290,20 +336,20 @@ def test_no_surrogate_is_an_entity_of_the_corpus(spark, share):
 
 
 def test_pipeline_runs_on_the_smallest_tables(spark):
-    import corpus_pipeline
+    from riftline.llm import stages
 
-    out = corpus_pipeline.run(spark, SF)
+    out = stages.run(spark, SF)
     kept = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
     assert len(kept) > 50 and out.groupBy("sequence_id").sum("length").where("`sum(length)` > 4096").count() == 0
 
 
 def test_pipeline_keeps_one_row_of_each_group_and_documents_without_id(spark):
-    import corpus_pipeline
+    from riftline.llm import stages
 
     rnd = random.Random(7)
     text = lambda: " ".join(rnd.choice("abcdefgh") + str(rnd.randrange(500)) for _ in range(60))
     one, two, three, four, five = (text() for _ in range(5))
     rows = [(1, one), (1, one), (2, one + " more"), (None, one), (None, two), (None, three), (None, three + " more"), (3, four), (3, five)]
-    kept = corpus_pipeline.near_duplicates(spark, docs(spark, [(i, t, "en", "a") for i, t in rows]), SF).collect()
+    kept = stages.near_duplicates(spark, docs(spark, [(i, t, "en", "a") for i, t in rows]), SF).collect()
     got = sorted((r["doc_id"] or 0, r["text"].removesuffix(" more")) for r in kept)
     assert got == sorted([(1, one), (0, two), (0, three), (3, four), (3, five)])
