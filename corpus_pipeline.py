@@ -1,61 +1,7 @@
-"""A corpus pipeline: language ID, near-duplicate removal, PII surrogates, source mixing, packing."""
+"""A corpus pipeline: language ID, near-duplicate removal, PII surrogates, source mixing, packing. Its stages are in riftline.llm.stages."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from riftline.llm.stages import ORACLE_SQL, STAGES, run
 
-from riftline.llm import jaccard, langid, mixing, packing, pii
-from riftline.llm.common import table, written
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model tells. It learns from the labelled rows that the query op6 learns from."""
-    model = langid.train(docs.where(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False))))
-    return langid.predict(docs.select(*COLUMNS), model).where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component: that of the smallest id, an id before none; of rows that repeat an id, one.
-
-    Rows have keys of their own here, in a written table, since ids may repeat or be null.
-    """
-    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
-    found = jaccard.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("h"), "row")
-    members = rows.select("row", order.alias("order")).join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
-    kept = members.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias("row"))
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
-
-
-def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """PII replaced by surrogates; n_chars follows the text."""
-    out = pii.surrogates(docs.select(*COLUMNS))
-    return out.withColumn("n_chars", F.when(F.col("n_entities") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*COLUMNS)
-
-
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.expand(mixing.mix(docs.select(*COLUMNS)), COLUMNS)
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
-
-
-STAGES = [("language", language), ("near_duplicates", near_duplicates), ("pii", private), ("mix", mix), ("pack", pack)]
-
-#: SQL can express neither the language model nor the tokenizer.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = written(docs, f"stage-{name}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
