@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from riftline.llm import jaccard, langid, mixing, packing, pii
 from riftline.llm.common import Scratch, release, table, written
 
+#: Runs of rows, of 4 KB each, that are broadcast; more are joined by shuffling.
+BROADCAST_RUNS = 1 << 13
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -28,8 +30,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64(*COLUMNS).alias("h"), "row")
     members = rows.select("row", order.alias("order")).join(found.select(F.col("doc_id").alias("row"), "component_id"), "row")
-    kept = written(members.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.row").alias("row")), "kept")
-    return rows.join(kept, "row", "left_semi").select(*COLUMNS)
+    kept = members.groupBy("component_id").agg(F.min("order").alias("first")).select((F.col("first.row") + 1).alias("row"))
+    # One bit for each row of a run of 32,768 rows, so that texts are not shuffled to find out which stay.
+    runs = kept.groupBy(F.bitmap_bucket_number("row").alias("run")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("row")).alias("bits"))
+    runs = written(runs, "kept")
+    runs = F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs.hint("merge")
+    at = F.bitmap_bit_position(F.col("row") + 1)
+    byte = F.conv(F.hex(F.substr("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    stays = F.pmod(F.expr("shiftright(_byte, cast(_at % 8 AS int))"), F.lit(2)) == 1
+    met = rows.withColumn("run", F.bitmap_bucket_number(F.col("row") + 1)).join(runs, "run").withColumns({"_at": at, "_byte": byte})
+    return met.where(stays).select(*COLUMNS)
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
