@@ -25,13 +25,19 @@ from riftline.llm.common import table, written
 SAMPLE = 8192
 BITS, SUBSTRING = 128, 16
 TOP = 5
-#: Vectors of one index block, and queries of one block.
-INDEX_ROWS, QUERY_ROWS = 1 << 15, 1 << 10
+#: Vectors of one index block.
+INDEX_ROWS = 1 << 14
 RECALL = 0.985
 
 
 def unit(column: pa.Array, dim: int) -> np.ndarray:
     x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return normal(x)
+
+
+def normal(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. Scaled by powers of two first, which changes no digit, so that no square over- or underflows."""
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -112,35 +118,35 @@ def _flips(r: int) -> np.ndarray:
     return _FLIPS[r]
 
 
+SCHEMA = "query_id long, rank int, vec_id long, score double"
+
+
 def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, sample_rows: int = SAMPLE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the top nearest found of each query among all vectors but its own id.
+    """(query_id, rank, vec_id, score): the top nearest found of each query among all vectors of its length but its own id.
 
-    Both inputs are (id, vec) of valid(). Every vector is indexed. Vectors are dealt into index blocks and queries into query blocks, by
-    hash; each index block meets each query block, and what leaves a task is at most top rows per query. Ties go to the smaller id.
-    Vectors of another length than the most frequent one of the sample take no part. No vectors: no rows.
+    Both inputs are (id, vec) of valid(). Every vector is indexed, by lengths apart. Vectors are dealt into blocks by hash; a task builds the index of
+    a block once and all queries pass it, and what leaves it is at most top rows per query. Ties go to the smaller id, rows that repeat an id and a
+    vector count once. No vectors: no rows.
     """
+    found = vectors.sparkSession.createDataFrame([], SCHEMA)
+    for r in sorted(vectors.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()):
+        own = F.size("vec") == r["dim"]
+        found = found.union(_search(queries.where(own), vectors.where(own), r["dim"], r["n"], top, sample_rows))
+    return found
+
+
+def _search(asked: DataFrame, vectors: DataFrame, dim: int, n: int, top: int, sample_rows: int) -> DataFrame:
+    """search() over n vectors, all of length dim."""
     spark = vectors.sparkSession
-    n = vectors.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return spark.createDataFrame([], schema)
     share = min(1.0, 0.9 * sample_rows / n)
     picked = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) <= int(share * (1 << 20))).orderBy(F.xxhash64("id")).limit(sample_rows).collect()
-    lengths = [len(r["vec"]) for r in picked] or [len(vectors.first()["vec"])]
-    dim = max(set(lengths), key=lambda d: (lengths.count(d), -d))
-    sample = np.array([r["vec"] for r in picked if len(r["vec"]) == dim])
+    sample = normal(np.array([r["vec"] for r in picked], float).reshape(-1, dim)) if picked else np.empty((0, dim))
     if len(sample) < 2 * dim:
-        sample = np.vstack([sample.reshape(-1, dim), np.random.RandomState(0).randn(2 * dim, dim)])
-    codes = spark.sparkContext.broadcast(Codes(sample / np.sqrt((sample * sample).sum(1, keepdims=True)), top=top))  # bounded by dim and BITS
-
-    same = F.size("vec") == dim
+        sample = np.vstack([sample, normal(np.random.RandomState(0).randn(2 * dim, dim))])
+    codes = spark.sparkContext.broadcast(Codes(sample, top=top))  # bounded by dim and BITS
     blocks = -(-n // INDEX_ROWS)
-    index = vectors.where(same).withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("role", F.lit(0)).withColumn("j", F.lit(-1))
-    asked = queries.where(same)
-    ask_blocks = max(1, -(-asked.count() // QUERY_ROWS))
-    asked = asked.withColumn("j", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(ask_blocks)).cast("int")).withColumn("role", F.lit(1))
-    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    index = index.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(ask_blocks - 1))))
+    index = vectors.withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("role", F.lit(0))
+    asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("role", F.lit(1))
 
     def find(ids, x, built, ask_ids, y, coded) -> list[tuple[int, int, float]]:
         found = []
@@ -160,12 +166,12 @@ def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, sample_rows:
     def run(batches):
         of, ids, held, built = None, [], [], None
         for batch in batches:
-            i, j, role = (batch.column(c).to_numpy() for c in ("i", "j", "role"))
+            i, role = (batch.column(c).to_numpy() for c in ("i", "role"))
             found = []
-            cuts = [0, *(np.flatnonzero((np.diff(i) != 0) | (np.diff(j) != 0) | (np.diff(role) != 0)) + 1).tolist(), len(i)]
+            cuts = [0, *(np.flatnonzero((np.diff(i) != 0) | (np.diff(role) != 0)) + 1).tolist(), len(i)]
             for a, b in itertools.pairwise(cuts):
-                if (i[a], j[a]) != of:
-                    of, ids, held, built = (i[a], j[a]), [], [], None
+                if i[a] != of:
+                    of, ids, held, built = i[a], [], [], None
                 x = unit(batch.column("vec").slice(a, b - a), dim)
                 own = batch.column("id").slice(a, b - a).to_numpy()
                 if role[a] == 0:
@@ -174,18 +180,19 @@ def search(queries: DataFrame, vectors: DataFrame, top: int = TOP, sample_rows:
                 elif ids:
                     if built is None:
                         all_ids, rows = np.concatenate(ids), np.concatenate(held)
+                        held = []
                         built = Index(codes.value.encode(rows))
                     found += find(all_ids, rows, built, own.tolist(), x, codes.value.encode(x))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    columns = ["i", "j", "role", "id", "vec"]
-    tasks = max(blocks * ask_blocks, 1)
-    met = index.select(*columns).union(asked.select(*columns)).repartition(tasks, "i", "j").sortWithinPartitions("i", "j", "role")
+    columns = ["i", "role", "id", "vec"]
+    met = index.select(*columns).union(asked.select(*columns)).repartition(blocks, "i").sortWithinPartitions("i", "role")
     near = met.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors whose id is divisible by 50, against all."""
     vectors = written(valid(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"), "vectors")
     return search(vectors.where("id % 50 = 0"), vectors)

@@ -103,6 +103,45 @@ def test_html(spark):
     assert got[2] == got[3] == ""
 
 
+def plain(page):
+    return html.main_text(page, html.tree())
+
+
+def test_html_without_article_or_main():
+    words = " ".join(["word"] * 19)
+    assert plain("<div>" + f"<p>{words}</p>" * 5 + "</div>") == "\n".join([words] * 5)
+    assert plain("<div><p>One two three four.<p>Five six seven eight nine.<p>Ten eleven twelve thirteen.</div>").count("\n") == 2
+    menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(6))
+    assert plain(f"<div><ul>{menu}</ul></div><div><h2>The title of it</h2><p>{words}</p><p>Short.</p></div>") == f"The title of it\n{words}\nShort."
+    page = f"<nav>{menu}</nav><header>Site</header><article><h1>A title</h1><p>{words}</p><p>Short.</p></article><footer>Foot</footer>"
+    assert plain(page) == plain(page.replace("article>", "div>")) == f"A title\n{words}\nShort."
+
+
+def test_html_classes_of_frames_count_only_outside_the_article():
+    inside = '<article><div class="section-header">Part one</div><p class="alert">Mind this.</p><p class="login-note">Log in first.</p></article>'
+    assert plain('<div class="site-header">Site</div><div class="alert">Old browser!</div>' + inside) == "Part one\nMind this.\nLog in first."
+
+
+def test_html_of_broken_markup():
+    import time
+
+    assert plain("<p class=foo'>one two three</p><p title='a>b'>x y z</p>") == "one two three\nx y z"
+    began = time.time()
+    assert plain("<div>" * 20_000 + "</span>" * 20_000 + "the text" + "</p>" * 20_000) == "the text"
+    assert plain("<p a=\"" * 20_000) == "" and time.time() - began < 5
+
+
+def test_html_tree_on_pages_it_was_not_grown_on():
+    hits = [(html.judge(html.tree(i), row) >= 0.5) == bool(block[2]) for i, page in enumerate(html.LABELLED) for block, row in zip(page, html.rows_of(page), strict=True)]
+    assert np.mean(hits) > 0.95
+
+
+def test_html_of_rows(spark):
+    rows = spark.createDataFrame([(1, "<p>Some text of it</p>", "x", 7), (1, "<p>Some text of it</p>", "x", 7), (2, None, None, None)], "page_id long, html string, text string, n_chars int")
+    assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extract(rows).collect()) == [(1, "Some text of it", 15)] * 2 + [(2, "", 0)]
+    assert html.extract(rows.limit(0)).count() == 0
+
+
 def test_mixing(spark, odd):
     out = mixing.mix(odd.drop("size")).collect()
     by = collections.defaultdict(list)
@@ -266,6 +305,14 @@ def test_neighbours(spark):
     assert ann.search(v.where("id = 0"), v.where("id < 3")).count() == 2 and ann.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_neighbours_of_extreme_sizes_repeats_ties_and_other_lengths(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 2e-200]), (2, [3.0, 3.0]), (2, [3.0, 3.0]), (3, [5e-324, 0.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0])]
+    v = ann.valid(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in ann.search(v.where("id % 50 = 0"), v).orderBy("query_id", "rank").collect()]
+    half = round(0.5**0.5, 9)
+    assert got == [(0, 1, 2, 1.0), (0, 2, 1, round(3 / 10**0.5, 9)), (0, 3, 3, half), (50, 1, 51, half)][: len(got)] and len(got) == 4
+
+
 def test_multi_index_finds_all_within_the_radius():
     codes = np.random.RandomState(0).randint(0, 1 << 16, (3000, 8)).astype(np.uint16)
     codes[1:200] = codes[0] ^ (np.random.RandomState(1).rand(199, 8) < 0.5).astype(np.uint16)
