@@ -1,8 +1,8 @@
 """Mixing sources to target weights: rates from token totals, whole copies plus one hash-seeded Bernoulli copy.
 
 Native: DataFrame functions only. The only rows that leave a task are (source, sum) partial sums and the thin
-(doc_id, source, size) rows; texts never shuffle. The table of sources has one row per source; Spark broadcasts
-it when it is below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sort-merge joins, splitting hot sources.
+(doc_id, source, size) rows. The table of sources has one row per source and is written first, so its size is known: below
+``spark.sql.autoBroadcastJoinThreshold`` Spark broadcasts it and texts do not shuffle; otherwise it sort-merge joins, splitting hot sources.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from riftline.llm.common import WORD, table
+from riftline.llm.common import WORD, table, written
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -60,7 +60,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     and no copies. Rows that share a doc_id share their draw. An empty table gives an empty result.
     """
     sized = docs.withColumn("size", document_size(F.col("text")))
-    targets = source_targets(sized.select("source", "size"), weights, max_repeats).withColumnRenamed("source", "target_source")
+    targets = written(source_targets(sized.select("source", "size"), weights, max_repeats).withColumnRenamed("source", "target_source"), "targets")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     extra = (uniform(seed, F.col("doc_id")) < rate - F.floor(rate)).cast("long")
     return (
