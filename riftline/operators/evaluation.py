@@ -14,11 +14,17 @@ def segments(cps: DataFrame, lengths: DataFrame, key: str = "series_id") -> Data
     return starts.join(lengths, key).select(key, "start", F.coalesce(next_start, F.col("n")).alias("end"))
 
 
-def covering(truth: DataFrame, found: DataFrame, lengths: DataFrame, key: str = "series_id") -> DataFrame:
-    """Mean over annotators of the share-weighted best Jaccard overlap. truth may have a column annotator. Only segments that overlap meet."""
+def _annotated(truth: DataFrame, annotators: DataFrame | None, key: str) -> tuple[DataFrame, DataFrame]:
+    """truth with a column annotator, and all (key, annotator): those given, which may have no change point, or those of truth."""
     if "annotator" not in truth.columns:
         truth = truth.withColumn("annotator", F.lit(0))
-    each = lengths.join(truth.select(key, "annotator").distinct(), key, "left").withColumn("annotator", F.coalesce("annotator", F.lit(0)))
+    return truth, (truth if annotators is None else annotators).select(key, "annotator").distinct()
+
+
+def covering(truth: DataFrame, found: DataFrame, lengths: DataFrame, key: str = "series_id", annotators: DataFrame | None = None) -> DataFrame:
+    """Mean over annotators of the share-weighted best Jaccard overlap. truth may have a column annotator. Only segments that overlap meet."""
+    truth, who = _annotated(truth, annotators, key)
+    each = lengths.join(who, key, "left").withColumn("annotator", F.coalesce("annotator", F.lit(0)))
     a = segments(truth.withColumn("_k", F.concat_ws("|", key, "annotator")).select("_k", "cp"), each.select(F.concat_ws("|", key, "annotator").alias("_k"), "n"), "_k")
     a = a.join(each.select(F.concat_ws("|", key, "annotator").alias("_k"), key, "annotator", "n"), "_k")
     b = segments(found, lengths, key).select(key, F.col("start").alias("s2"), F.col("end").alias("e2"))
@@ -39,12 +45,11 @@ def _matches(truth, found, margin):
     return F.aggregate(truth, F.struct(found.alias("left"), F.lit(0).alias("hits")), step)["hits"]
 
 
-def f_measure(truth: DataFrame, found: DataFrame, lengths: DataFrame, key: str = "series_id", share: float = 0.01, alpha: float = 0.5) -> DataFrame:
-    """Margin F1: 0 counts on both sides; precision against the union of annotators, recall averaged over them."""
-    if "annotator" not in truth.columns:
-        truth = truth.withColumn("annotator", F.lit(0))
+def f_measure(truth: DataFrame, found: DataFrame, lengths: DataFrame, key: str = "series_id", share: float = 0.01, alpha: float = 0.5, annotators: DataFrame | None = None) -> DataFrame:
+    """Margin F1: 0 counts on both sides; precision against the union of annotators, recall averaged over them, also over those without a change point."""
+    truth, who = _annotated(truth, annotators, key)
     with_zero = lambda c: F.sort_array(F.array_distinct(F.concat(F.array(F.lit(0).cast("long")), F.coalesce(c, F.array().cast("array<bigint>")))))
-    by_annotator = truth.groupBy(key, "annotator").agg(F.collect_set(F.col("cp").cast("long")).alias("cps"))
+    by_annotator = who.join(truth, [key, "annotator"], "left").groupBy(key, "annotator").agg(F.collect_set(F.col("cp").cast("long")).alias("cps"))
     gathered = by_annotator.groupBy(key).agg(F.collect_list("cps").alias("each"), F.array_distinct(F.flatten(F.collect_list("cps"))).alias("all"))
     preds = found.groupBy(key).agg(F.collect_set(F.col("cp").cast("long")).alias("found"))
     rows = lengths.join(gathered, key, "left").join(preds, key, "left").withColumn("margin", F.floor(F.col("n") * share))

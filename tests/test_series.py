@@ -103,11 +103,15 @@ def frames(spark, truth, found, n):
     )
 
 
-@pytest.mark.parametrize("truth,found,expected", [({1: [10, 20], 2: [11, 20], 3: [10], 4: [0, 5]}, [10, 20], 1.0), ({2: [10], 3: [50]}, [10], None)])
+GOLDEN = [({1: [10, 20], 2: [11, 20], 3: [10], 4: [0, 5]}, [10, 20], 1.0), ({1: [], 2: [10], 3: [50]}, [10], 10 / 11), ({1: [], 2: [10], 3: [50]}, [], 0.8)]
+
+
+@pytest.mark.parametrize("truth,found,expected", GOLDEN)
 def test_f_measure(spark, truth, found, expected):
     rows = [("s", a, c) for a, cps in truth.items() for c in cps]
-    f1 = evaluation.f_measure(*frames(spark, rows, found, 500)).first()["f1"]
-    assert 0 < f1 <= 1 and (expected is None or f1 == pytest.approx(expected))
+    who = spark.createDataFrame([("s", a) for a in truth], "series_id string, annotator int")
+    f1 = evaluation.f_measure(*frames(spark, rows, found, 500), annotators=who).first()["f1"]
+    assert f1 == pytest.approx(expected)
 
 
 def test_f_measure_without_change_points_is_one(spark):
