@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 import numpy as np
 
+from riftline.operators.matrix import windows_of
 from riftline.operators.periods import ESTIMATORS
 
 
@@ -43,11 +44,14 @@ def rank_sum(zeros_left: int, n1: int, zeros_right: int, n2: int) -> tuple[float
 
 
 class Segmenter:
-    """update(x) for each point; change_points holds (cp, score, p, detected_at), all counted from 0.
+    """update(x) for each point; change_points holds (cp, score, p, detected_at), all counted from 0; merged_profile() the profile of the points held.
 
     window_size: a number, or the name of an estimator that sees the first n_prerun points. State is bounded by d; it can be pickled at any time.
+    A point costs O(d): dot products follow from those of the subsequence before, and are computed anew every REFRESH points, so errors do not add up.
     """
 
+    REFRESH = 1024
+
     def __init__(self, d: int = 10_000, n_prerun: int | None = None, window_size: int | str = "suss", k: int = 3, score: str = "f1", jump: int | None = 5, p_value: float = 1e-50, sample_size: int | None = 1000, similarity: str = "pearson", profile_mode: str = "global"):
         self.d, self.k, self.score, self.jump, self.p_value, self.sample_size, self.similarity, self.mode = d, k, score, jump, p_value, sample_size, similarity, profile_mode
         self.window_size = window_size
@@ -59,24 +63,28 @@ class Segmenter:
 
     def _start(self) -> None:
         width = self.window_size if isinstance(self.window_size, int) else ESTIMATORS[self.window_size](np.array(self.buffer))
-        self.w = max(3, min(int(width), max(3, self.d // 4)))
+        self.w = max(3, int(width))
         self.r = self.w // 2
         self.lag = self.w + self.r + self.k
         self.jump = self.jump or max(1, self.r)
-        size = self.d + 2 * self.lag
-        self.x = np.zeros(2 * size)
-        self.near, self.dist = np.full((2 * size, self.k), -1, np.int64), np.full((2 * size, self.k), np.inf)
+        size = 2 * (self.d + 2 * self.lag)
+        self.shift = self.buffer[0]  # points and means are held less this value
+        self.x, self.mean, self.sd, self.ss, self.ce = (np.zeros(size) for _ in range(5))
+        self.near, self.dist = np.full((self.k, size), -1, np.int64), np.full((self.k, size), np.inf)
+        self.major = np.full(size, -1, np.int64)  # the neighbour that decides the majority of a row
+        self.merged = np.full(size, np.nan, np.float32)
         self.base = 0  # absolute index of cell 0
         self.segment = 0
-        self.profile: dict[int, float] = {}
+        self.dot, self.dot_of, self.dot_lo = np.empty(0), -2, 0
 
     def _make_room(self) -> None:
         if self.n - self.base >= len(self.x):
-            keep = self.n - (self.d + 2 * self.lag) - self.base
-            for a in (self.x, self.near, self.dist):
-                a[: len(a) - keep] = a[keep:].copy()
-            self.near[len(self.near) - keep :], self.dist[len(self.dist) - keep :] = -1, np.inf
-            self.base += keep
+            keep = self.d + 2 * self.lag
+            gone = self.n - keep - self.base
+            for a, empty in ((self.x, 0), (self.mean, 0), (self.sd, 0), (self.ss, 0), (self.ce, 0), (self.near, -1), (self.dist, np.inf), (self.major, -1), (self.merged, np.nan)):
+                a[..., :keep] = a[..., gone : gone + keep].copy()
+                a[..., keep:] = empty
+            self.base += gone
 
     def flush(self) -> None:
         """Start with what is there, when a series ends before n_prerun points."""
@@ -101,32 +109,80 @@ class Segmenter:
                 self._replay()
         return self.change_points[before:]
 
+    def merged_profile(self) -> list[tuple[int, float]]:
+        """(split, score) of the splits scored among the points held, ascending."""
+        if not self.w:
+            return []
+        at = np.flatnonzero(~np.isnan(self.merged))
+        return list(zip((at + self.base).tolist(), self.merged[at].astype(float).tolist(), strict=True))
+
+    def _recentre(self) -> None:
+        """Hold the points less their mean, so that products of large values do not cancel."""
+        held = self.n - self.base
+        by = self.x[max(0, held - self.d) : held].mean()
+        self.shift += by
+        self.x[:held] -= by
+        self.mean[: max(0, held - self.w + 1)] -= by
+        self.dot_of = -2
+
+    def _add(self, value: float) -> None:
+        """Take the point in, with the statistics of the subsequence that it ends."""
+        at, w = self.n - self.base, self.w
+        self.x[at] = value - self.shift
+        self.n += 1
+        j = at - w + 1
+        if j < 0:
+            return
+        v = self.x[j : at + 1]
+        self.mean[j] = mean = v.sum() / w
+        c = v - mean
+        self.ss[j] = ss = c @ c
+        sd = math.sqrt(ss / w)
+        self.sd[j] = sd if sd >= 1e-3 else 1.0
+        if self.similarity == "cid":
+            self.ce[j] = (np.diff(self.x[max(j - 1, 0) : at + 1]) ** 2).sum() + 1e-5
+
+    def _dots(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Products of subsequence i with lo .. hi - 1: each is that of both predecessors, less the points left, plus the points taken in."""
+        w, b, x = self.w, self.base, self.x
+        q = x[i - b : i - b + w]
+        if self.dot_of == i - 1 and self.dot_lo <= lo < self.dot_lo + len(self.dot):
+            first = max(lo, self.dot_lo + 1)
+            dot = np.empty(hi - lo)
+            rest = dot[first - lo :]
+            np.multiply(x[first - b + w - 1 : hi - b + w - 1], q[-1], out=rest)
+            rest -= x[first - b - 1 : hi - b - 1] * x[i - b - 1]
+            rest += self.dot[first - 1 - self.dot_lo : hi - 1 - self.dot_lo]
+            if first > lo:
+                dot[0] = q @ x[lo - b : lo - b + w]
+        else:
+            dot = windows_of(x[lo - b : hi - b + w - 1], w) @ q
+        self.dot, self.dot_of, self.dot_lo = dot, i, lo
+        return dot
+
     def _distances(self, i: int, lo: int, hi: int) -> np.ndarray:
         """Of subsequence i to subsequences lo .. hi - 1."""
-        w, b = self.w, self.base
-        win = np.lib.stride_tricks.sliding_window_view(self.x[lo - b : hi - b + w - 1], w)
-        q = self.x[i - b : i - b + w]
-        c = np.r_[0.0, np.cumsum(self.x[lo - b : hi - b + w - 1] - q.mean())]
-        c2 = np.r_[0.0, np.cumsum((self.x[lo - b : hi - b + w - 1] - q.mean()) ** 2)]
-        s, s2 = c[w:] - c[:-w], c2[w:] - c2[:-w]
-        dot = win @ (q - q.mean())
+        w, at, cells = self.w, i - self.base, slice(lo - self.base, hi - self.base)
+        dot, mean = self._dots(i, lo, hi), self.mean[cells]
         if self.similarity == "pearson":
-            sd = np.sqrt(np.maximum(s2 / w - (s / w) ** 2, 0))
-            sd[sd < 1e-3] = 1.0
-            sq = q.std()
-            return 2 * w * (1 - dot / (w * sd * (sq if sq >= 1e-3 else 1.0)))
-        ed = s2 + ((q - q.mean()) ** 2).sum() - 2 * dot
+            out = mean * (-w * self.mean[at])
+            out += dot
+            out /= self.sd[cells]
+            out *= -2 / self.sd[at]
+            out += 2 * w
+            return out
+        square = lambda c: self.ss[c] + w * self.mean[c] ** 2
+        out = square(cells) + square(at) - 2 * dot
         if self.similarity == "ed":
-            return ed
-        steps = np.r_[0.0, np.diff(self.x[lo - b : hi - b + w - 1]) ** 2]
-        ce = np.lib.stride_tricks.sliding_window_view(steps, w).sum(1) + 1e-5
-        own = (np.diff(self.x[max(i - 1, b) - b : i - b + w]) ** 2).sum() + 1e-5
-        return ed * np.maximum(ce, own) / np.minimum(ce, own)
+            return out
+        ce, own = self.ce[cells], self.ce[at]
+        return out * np.maximum(ce, own) / np.minimum(ce, own)
 
     def _point(self, value: float) -> None:
         self._make_room()
-        self.x[self.n - self.base] = value
-        self.n += 1
+        self._add(value)
+        if self.n % self.REFRESH == 0:
+            self._recentre()
         if self.n < self.lag:
             return
         i = self.n - self.lag
@@ -137,31 +193,40 @@ class Segmenter:
             return
         dist = self._distances(i, lo, hi)
         dist[max(0, i - self.r - lo) : i + self.r - lo] = np.inf
-        k = min(self.k, len(dist))
-        at = np.argpartition(dist, k - 1)[:k]
-        at = at[np.lexsort((at, dist[at]))]
-        at = at[np.isfinite(dist[at])]
         row = i - self.base
-        self.near[row, : len(at)], self.dist[row, : len(at)] = at + lo, dist[at]
+        free = dist.copy()
+        for rank in range(min(self.k, len(dist))):
+            at = int(free.argmin())  # the first of equals
+            if free[at] == np.inf:
+                break
+            self.near[rank, row], self.dist[rank, row] = at + lo, free[at]
+            free[at] = np.inf
+        self._decide(np.array([row]))
         self._reverse(i, lo, dist)
         n = i - self.segment
         if self.n >= 10 * self.w and n >= 10 * self.w and self.n % self.jump == 0:
             self._score(i)
 
+    def _decide(self, rows: np.ndarray) -> None:
+        self.major[rows] = np.sort(self.near[:, rows], axis=0)[self.k - 1 - self.k // 2]
+
     def _reverse(self, i: int, lo: int, dist: np.ndarray) -> None:
         """The new subsequence may be nearer to an older row than its neighbours of the first k - 1 ranks."""
+        if self.k < 2:
+            return
         a, b = lo - self.base, i - self.base
-        for rank in range(self.k - 1):
-            rows = a + np.flatnonzero((dist[: b - a] < self.dist[a:b, rank]) & (self.near[a:b] != i).all(1))
-            for col in range(self.k - 1, rank, -1):
-                self.near[rows, col], self.dist[rows, col] = self.near[rows, col - 1], self.dist[rows, col - 1]
-            self.near[rows, rank], self.dist[rows, rank] = i, dist[rows - a]
+        for row in (np.flatnonzero(dist[: b - a] < self.dist[self.k - 2, a:b])).tolist():
+            new, cell = dist[row], row + a
+            rank = int(np.searchsorted(self.dist[: self.k - 1, cell], new, side="right"))
+            for held, value in ((self.near, i), (self.dist, new)):
+                held[rank + 1 :, cell] = held[rank:-1, cell].copy()
+                held[rank, cell] = value
+            self.major[cell] = sorted(self.near[:, cell].tolist())[self.k - 1 - self.k // 2]
 
     def _score(self, i: int) -> None:
         lo, w = self.segment, self.w
-        near = np.clip(self.near[lo - self.base : i - self.base] - lo, 0, i - lo - 1)
-        n, offset = len(near), 5 * w
-        m = np.sort(near, axis=1)[:, self.k - 1 - self.k // 2]
+        n, offset = i - lo, 5 * w
+        m = np.clip(self.major[lo - self.base : i - self.base] - lo, 0, n - 1)
         counts = split_counts(m, w)
         profile = np.full(n, -np.inf, np.float32)
         inside = slice(offset, n - offset)
@@ -172,12 +237,9 @@ class Segmenter:
         profile[finite] = (2 * profile[finite] + np.float32(finite.sum() / self.d)) / 3
         best = int(profile.argmax())
         cp = best + w
-        for s in np.flatnonzero(finite).tolist() if self.mode != "none" else ():
-            v = float(profile[s])
-            self.profile[lo + s] = max(self.profile.get(lo + s, -np.inf), v) if self.mode == "global" else v
-        if len(self.profile) > 2 * self.d:
-            for s in [s for s in self.profile if s < self.n - self.d]:
-                del self.profile[s]
+        if self.mode != "none":
+            held = self.merged[lo - self.base : i - self.base]
+            held[finite] = np.fmax(held[finite], profile[finite]) if self.mode == "global" else profile[finite]
         if cp < offset or n - cp < offset:
             return
         zeros_left, zeros_right, n1, n2 = int(counts[0][cp]), int(counts[1][cp]), cp, n - cp - w

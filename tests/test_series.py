@@ -68,6 +68,52 @@ def test_segmenter_finds_the_regime():
     assert noise.change_points == []
 
 
+class Plain(Segmenter):
+    """Distances by their definitions, for every point anew; neighbours and their reverse updates by sorting."""
+
+    def _distances(self, i, lo, hi):
+        y, w = self.x + self.shift, self.w
+        cut = lambda j: y[j - self.base : j - self.base + w]
+        q, out = cut(i), []
+        for j in range(lo, hi):
+            v = cut(j)
+            if self.similarity == "pearson":
+                out.append((((q - q.mean()) / max(q.std(), 1e-3) - (v - v.mean()) / max(v.std(), 1e-3)) ** 2).sum())
+                continue
+            e = ((q - v) ** 2).sum()
+            if self.similarity == "cid":
+                a, b = ((np.diff(y[max(t - self.base - 1, 0) : t - self.base + w]) ** 2).sum() + 1e-5 for t in (i, j))
+                e *= max(a, b) / min(a, b)
+            out.append(e)
+        return np.array(out)
+
+    def _reverse(self, i, lo, dist):
+        for j in range(lo, i):
+            cell = j - self.base
+            if dist[j - lo] < self.dist[self.k - 2, cell]:
+                rows = sorted([*zip(self.dist[:, cell], range(self.k), self.near[:, cell], strict=True), (dist[j - lo], self.k, i)])[: self.k]
+                self.dist[:, cell], self.near[:, cell] = [r[0] for r in rows], [r[2] for r in rows]
+                self._decide(np.array([cell]))
+
+
+@pytest.mark.parametrize("similarity", ["pearson", "ed", "cid"])
+def test_segmenter_equals_plain_kernel(similarity):
+    """Over refreshed products, moved arrays, a window that slides, and values far from zero."""
+    rs, n = np.random.RandomState(11), 1300
+    t = np.arange(n)
+    x = 1e4 + 0.2 * rs.randn(n) + np.sin(2 * np.pi * t / np.where(t % 700 < 350, 10, 23))
+    config = {"d": 250, "window_size": 10, "similarity": similarity, "p_value": 1e-6, "sample_size": None}
+    fast, plain = Segmenter(**config), Plain(**config)
+    fast.REFRESH = 128
+    for v in x:
+        fast.update(v)
+        plain.update(v)
+    assert [c[0::3] for c in fast.change_points] == [c[0::3] for c in plain.change_points] and fast.change_points
+    held = slice(fast.segment - fast.base, fast.n - fast.lag - fast.base)
+    assert (fast.near[:, held] == plain.near[:, held]).all() and np.allclose(fast.dist[:, held], plain.dist[:, held], atol=1e-6)
+    assert fast.merged_profile() == pytest.approx(plain.merged_profile())
+
+
 def test_sample_of_100_cannot_pass():
     s = Segmenter(window_size=20, sample_size=100)
     for v in two_regimes():
