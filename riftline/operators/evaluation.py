@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,11 +89,22 @@ def pairwise(scores: DataFrame) -> DataFrame:
     return both.groupBy("method_a", "method_b").agg(F.count_if(x > y).alias("wins"), F.count_if(x == y).alias("ties"), F.count_if(x < y).alias("losses"))
 
 
-#: Studentized range at .05, divided by sqrt 2, for 2 .. 10 methods.
-NEMENYI = (1.960, 2.343, 2.569, 2.728, 2.850, 2.949, 3.031, 3.102, 3.164)
+def nemenyi(k: int, p: float = 0.05) -> float:
+    """Upper quantile of the range of k standard normals, divided by sqrt 2."""
+    z = np.linspace(-9, 9, 4001)
+    below = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in z])
+    density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi) * (z[1] - z[0])
+    lo, hi = 0.0, 18.0
+    for _ in range(50):
+        q = (lo + hi) / 2
+        within = k * (density * np.maximum(below - np.interp(z - q, z, below, left=0.0), 0) ** (k - 1)).sum()
+        lo, hi = (q, hi) if within < 1 - p else (lo, q)
+    return hi / math.sqrt(2)
 
 
 def critical_difference(scores: DataFrame) -> DataFrame:
+    """One row; the number of methods is read first, to find its quantile."""
+    k = scores.select("method").distinct().count()
+    q = round(nemenyi(k), 3) if k > 1 else 0.0
     n = scores.agg(F.countDistinct("method").alias("k"), F.countDistinct("dataset").alias("n"))
-    q = F.element_at(F.array(*map(F.lit, NEMENYI)), (F.col("k") - 1).cast("int"))
     return n.select("k", "n", (q * F.sqrt(F.col("k") * (F.col("k") + 1) / (6.0 * F.col("n")))).alias("cd"))

@@ -1,7 +1,8 @@
 """Kernels over blocks of a series. A block is a count window of ``d`` points, so a task holds a bounded part of a series, however long it is.
 
 Within a block every subsequence is compared with every other, as blocked matrix products. Blocks are independent groups: parallelism is
-series x blocks, and one shuffle on (series_id, block) brings a block's points together.
+series x blocks, and one shuffle on (series_id, block) brings a block's points together. Blocks of neighbours overlap by half, so that every
+position lies at least d / 4 from the edges of one of them; blocks of whole-window statistics tumble.
 """
 
 from __future__ import annotations
@@ -15,6 +16,17 @@ D, W, K = 10_000, 20, 3
 
 
 def blocks(series: DataFrame, d: int = D) -> DataFrame:
+    """Each point in the blocks that hold it: block b has d points from b * d / 2 on. A later block of d / 2 points or fewer lies within the one before, and is none."""
+    at = F.floor(F.col("t") / (d // 2)).cast("long")
+    return series.withColumn("block", F.explode(F.when(at == 0, F.array(at)).otherwise(F.array(at - 1, at))))
+
+
+def last_blocks(series: DataFrame, d: int = D) -> DataFrame:
+    """(series_id, last): the number of the last block."""
+    return series.groupBy("series_id").agg(F.greatest(F.lit(0), F.ceil(F.count("*") / (d // 2)) - 2).cast("long").alias("last"))
+
+
+def tumbling(series: DataFrame, d: int = D) -> DataFrame:
     return series.withColumn("block", F.floor(F.col("t") / d).cast("long"))
 
 
@@ -46,24 +58,22 @@ def knn_arrays(x: np.ndarray, w: int, k: int, similarity: str = "pearson", radiu
         j = np.arange(n)
         d = np.round(d, 6)
         d[(j >= i - r) & (j < i + r)] = np.inf
-        m = min(k, n)
-        at = np.argpartition(d, m - 1, axis=1)[:, :m]
-        cut = np.take_along_axis(d, at, 1).max(1)
-        for row in range(b - a):
-            c = np.flatnonzero(d[row] <= cut[row])
-            c = c[np.lexsort((c, d[row][c]))][:m]
-            c = c[np.isfinite(d[row][c])]
-            near[a + row, : len(c)], dist[a + row, : len(c)] = c, d[row][c]
+        rows = np.arange(b - a)
+        for rank in range(min(k, n)):
+            c = d.argmin(1)  # the first of equals
+            v = d[rows, c]
+            near[a:b, rank], dist[a:b, rank] = np.where(np.isfinite(v), c, -1), v
+            d[rows, c] = np.inf
     return near, dist
 
 
 def knn(series: DataFrame, w: int = W, k: int = K, similarity: str = "pearson", d: int = D) -> DataFrame:
-    """(series_id, block, i, rank, j, dist) of exact nearest neighbours within a block; blocks shorter than w have none."""
+    """(series_id, block, i, rank, j, dist) of exact nearest neighbours within a block, i and j counted from its start; blocks shorter than w have none."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         x = pdf.sort_values("t")["value"].to_numpy()
-        if len(x) < w:
-            return pd.DataFrame({"series_id": [], "block": [], "i": [], "rank": [], "j": [], "dist": []})
+        if len(x) < w or (key[1] > 0 and len(x) <= d // 2):
+            return pd.DataFrame({"series_id": pd.Series([], dtype=object), **{c: np.empty(0, int) for c in ("block", "i", "rank", "j")}, "dist": np.empty(0)})
         near, dist = knn_arrays(x, w, k, similarity)
         i, rank = np.nonzero(near >= 0)
         return pd.DataFrame({"series_id": key[0], "block": key[1], "i": i, "rank": rank + 1, "j": near[i, rank], "dist": dist[i, rank]})
@@ -72,12 +82,12 @@ def knn(series: DataFrame, w: int = W, k: int = K, similarity: str = "pearson",
 
 
 def per_block(series: DataFrame, function, schema: str, d: int = D) -> DataFrame:
-    """function(values) -> columns, for each block."""
+    """function(values) -> columns, for each tumbling block."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
         out = pd.DataFrame(function(pdf.sort_values("t")["value"].to_numpy()))
         out.insert(0, "block", key[1])
-        out.insert(0, "series_id", key[0])
+        out.insert(0, "series_id", pd.Series([key[0]] * len(out), dtype=object))
         return out
 
-    return blocks(series, d).groupBy("series_id", "block").applyInPandas(run, f"series_id string, block long, {schema}")
+    return tumbling(series, d).groupBy("series_id", "block").applyInPandas(run, f"series_id string, block long, {schema}")

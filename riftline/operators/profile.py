@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from riftline.functions import exprs
+from riftline.operators.matrix import last_blocks
 
 GROUP = ["series_id", "block"]
 
@@ -43,6 +44,13 @@ def smoothed(profile: DataFrame, d: int) -> DataFrame:
     return profile.withColumn("smooth", (2 * F.col("score") + share) / 3)
 
 
+def owned(profile: DataFrame, series: DataFrame, d: int) -> DataFrame:
+    """Each split of a series once, from the block in which it lies most central: the middle half of a block, and the ends of the first and the last."""
+    block, split = F.col("block"), F.col("split")
+    inner = ((block == 0) | (split >= d // 4)) & ((block == F.col("last")) | (split < d // 4 + d // 2))
+    return profile.join(last_blocks(series, d), "series_id").where(inner).drop("last")
+
+
 def best_split(profile: DataFrame) -> DataFrame:
     """The split of the highest score of each block, the first of equals."""
     top = profile.where("score IS NOT NULL").groupBy(*GROUP).agg(F.max(F.struct(F.round("score", 9).alias("s"), (-F.col("split")).alias("neg"), "n", "tp", "fp", "split")).alias("b"))

@@ -165,11 +165,12 @@ def count_window_tumbling(spark, d):
 # Nearest neighbours and profiles
 
 _BLK = "b AS (SELECT series_id, t // 10000 AS block, t % 10000 AS t, value FROM e)"
+_HALVES = "bl AS (SELECT series_id, t, value, unnest(CASE WHEN t >= 5000 THEN [t // 5000 - 1, t // 5000] ELSE [0] END) AS block FROM e), b AS (SELECT series_id, block, t - block * 5000 AS t, value FROM bl QUALIFY block = 0 OR count(*) OVER (PARTITION BY series_id, block) > 5000)"
 
 
 def _knn_sql(source: str, kind: str = "pearson") -> str:
     f = f"OVER (PARTITION BY series_id, block ORDER BY t ROWS BETWEEN CURRENT ROW AND {W - 1} FOLLOWING)"
-    return f"""WITH {source}, {_BLK}, s0 AS (SELECT series_id, block, t, value, count(*) {f} AS n, avg(value) {f} AS mu, stddev_pop(value) {f} AS sd, list(value) {f} AS win FROM b),
+    return f"""WITH {source}, {_HALVES}, s0 AS (SELECT series_id, block, t, value, count(*) {f} AS n, avg(value) {f} AS mu, stddev_pop(value) {f} AS sd, list(value) {f} AS win FROM b),
 s AS (SELECT * REPLACE (CASE WHEN sd < 1e-3 THEN 1.0 ELSE sd END AS sd) FROM s0 WHERE n = {W}),
 c AS (SELECT x.series_id, x.block, x.t AS i, y.t AS j, round(2 * {W} * (1 - (list_dot_product(x.win, y.win) - {W} * x.mu * y.mu) / ({W} * x.sd * y.sd)), 6) AS dist FROM s x JOIN s y ON x.series_id = y.series_id AND x.block = y.block AND NOT (y.t >= x.t - {W // 2} AND y.t < x.t + {W // 2})),
 knn AS (SELECT *, row_number() OVER (PARTITION BY series_id, block, i ORDER BY dist, j) AS rank FROM c QUALIFY rank <= {K}),
@@ -182,7 +183,9 @@ g AS (SELECT series_id, block, pos AS split, sum(tp) AS tp, sum(fp) AS fp FROM e
 r AS (SELECT series_id, block, split, sum(tp) OVER w AS tp, sum(fp) OVER w AS fp FROM g WINDOW w AS (PARTITION BY series_id, block ORDER BY split)),
 conf AS (SELECT r.series_id, r.block::BIGINT AS block, split::BIGINT AS split, n::BIGINT AS n, tp::BIGINT AS tp, fp::BIGINT AS fp, (split - tp)::BIGINT AS fn, (n - split - {W} - fp)::BIGINT AS tn FROM r JOIN nn ON r.series_id = nn.series_id AND r.block = nn.block WHERE split >= {5 * W} AND split < n - {5 * W}),
 f AS (SELECT *, CASE WHEN tp > 0 AND tn > 0 THEN (2.0 * tp / (2 * tp + fp + fn) + 2.0 * tn / (2 * tn + fn + fp)) / 2 END AS score, (tp + tn)::DOUBLE / (tp + fp + fn + tn) AS acc FROM conf),
-best AS (SELECT * FROM f WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, block ORDER BY round(score, 9) DESC, split) = 1),
+lb AS (SELECT series_id, max(block) AS last FROM b GROUP BY 1),
+own AS (SELECT f.* FROM f JOIN lb ON f.series_id = lb.series_id WHERE (f.block = 0 OR split >= 2500) AND (f.block = last OR split < 7500)),
+best AS (SELECT * FROM own WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY series_id, block ORDER BY round(score, 9) DESC, split) = 1),
 z AS (SELECT *, 0.5 * ((split - tp) * fp::DOUBLE - tp * (n - split - {W} - fp)::DOUBLE) / sqrt(split::DOUBLE * (n - split - {W}) * (n - {W} + 1) / 12) AS z FROM best)"""
 
 
@@ -220,10 +223,16 @@ def profile_smoothed(spark, d):
     return rounded(profile.smoothed(profile.scored(_conf(events(spark, d))), D).select("series_id", "block", "split", "smooth"), "smooth", digits=6)
 
 
-@query(_conf_sql(_E) + " SELECT series_id, block, split, round(score, 6) AS score, n, round(z, 4) AS z FROM z")
+def _best(series):
+    """The best of the splits that each block owns, with its place in the series."""
+    scored = profile.owned(profile.scored(_conf(series)), series, D)
+    return profile.tested(profile.best_split(scored), W).withColumn("cp", F.col("block") * (D // 2) + F.col("split"))
+
+
+@query(_conf_sql(_E) + " SELECT series_id, block, split, block * 5000 + split AS cp, round(score, 6) AS score, n, round(z, 4) AS z FROM z")
 def best_split(spark, d):
-    best = profile.tested(profile.best_split(profile.scored(_conf(events(spark, d)))), W)
-    return rounded(rounded(best.select("series_id", "block", "split", "score", "n", "z"), "score", digits=6), "z")
+    best = _best(events(spark, d)).select("series_id", "block", "split", "cp", "score", "n", "z")
+    return rounded(rounded(best, "score", digits=6), "z")
 
 
 @query(_conf_sql(_E) + f" SELECT series_id, block, split, round(0.5 * ((split - tp) * fp::DOUBLE - tp * (n - split - {W} - fp)::DOUBLE) / sqrt(split::DOUBLE * (n - split - {W}) * (n - {W} + 1) / 12), 4) + 0.0 AS z FROM conf")
@@ -232,10 +241,10 @@ def rank_sum_z(spark, d):
     return rounded(out, "z").withColumn("z", F.col("z") + 0.0)
 
 
-@query(_conf_sql(_INJ) + " SELECT series_id, block, split, round(score, 6) AS score, abs(z) >= 14.97948 AS significant FROM z")
+@query(_conf_sql(_INJ) + " SELECT series_id, block, split, block * 5000 + split AS cp, round(score, 6) AS score, abs(z) >= 14.97948 AS significant FROM z")
 def significant_cp(spark, d):
-    best = profile.tested(profile.best_split(profile.scored(_conf(injected(events(spark, d))))), W)
-    return rounded(best.select("series_id", "block", "split", "score", (F.abs("z") >= 14.97948).alias("significant")), "score", digits=6)
+    best = _best(injected(events(spark, d)))
+    return rounded(best.select("series_id", "block", "split", "cp", "score", (F.abs("z") >= 14.97948).alias("significant")), "score", digits=6)
 
 
 @query(_conf_sql(_E) + " SELECT series_id, block, split, round(greatest(score, acc), 6) AS merged FROM f")
@@ -288,20 +297,22 @@ for _name, _as in (("suss", "suss_window"), ("fft", "fft_period"), ("acf", "acf_
 
 
 @query(f"""WITH {_E}, {_BLK}, c AS (SELECT *, value - avg(value) OVER p AS x, sum(1) OVER p AS n FROM b WINDOW p AS (PARTITION BY series_id, block)), v AS (SELECT series_id, block, sum(x * x) AS v FROM c GROUP BY ALL)
-SELECT a.series_id, a.block::BIGINT AS block, (b.t - a.t)::BIGINT AS lag, round(sum(a.x * b.x) / max(v), 6) + 0.0 AS acf FROM c a JOIN c b ON a.series_id = b.series_id AND a.block = b.block AND b.t BETWEEN a.t AND a.t + 50 JOIN v ON v.series_id = a.series_id AND v.block = a.block GROUP BY ALL""")
+SELECT a.series_id, a.block::BIGINT AS block, (b.t - a.t)::BIGINT AS lag, round(sum(a.x * b.x) / max(v), 6) + 0.0 AS acf FROM c a JOIN c b ON a.series_id = b.series_id AND a.block = b.block AND b.t BETWEEN a.t AND a.t + a.n // 2 JOIN v ON v.series_id = a.series_id AND v.block = a.block GROUP BY ALL""")
 def acf_values(spark, d):
-    f = lambda x: {"lag": range(min(51, len(x))), "acf": (periods.autocorrelation(x, 50)[: len(x)].round(6) + 0.0)}
+    """Lags 0 .. n / 2 of each block."""
+    f = lambda x: {"lag": range(len(x) // 2 + 1), "acf": periods.autocorrelation(x, len(x) // 2).round(6) + 0.0}
     return matrix.per_block(events(spark, d), f, "lag long, acf double")
 
 
 def _dft(x):
     f, _, size = periods.spectrum(x)
-    return {"f": f[:50], "magnitude": size[:50].round(3)}
+    return {"f": f, "magnitude": size.round(3)}
 
 
-@query(f"""WITH {_E}, {_BLK}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id, block) AS n FROM b)
-SELECT series_id, block::BIGINT AS block, f::BIGINT AS f, round(sqrt(sum(value * cos(2 * pi() * f * t / n)) ** 2 + sum(value * sin(2 * pi() * f * t / n)) ** 2), 3) AS magnitude FROM n, range(1, 51) r(f) GROUP BY ALL""")
+@query(f"""WITH {_E}, {_BLK}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id, block) AS n FROM b), fs AS (SELECT DISTINCT series_id, block, unnest(range(1, (n - 1) // 2 + 1)) AS f FROM (SELECT DISTINCT series_id, block, n FROM n))
+SELECT n.series_id, n.block::BIGINT AS block, f::BIGINT AS f, round(sqrt(sum(value * cos(2 * pi() * ((f * t) % n) / n)) ** 2 + sum(value * sin(2 * pi() * ((f * t) % n) / n)) ** 2), 3) AS magnitude FROM n JOIN fs ON n.series_id = fs.series_id AND n.block = fs.block GROUP BY ALL""")
 def dft_magnitude(spark, d):
+    """All positive frequencies of each block."""
     return matrix.per_block(events(spark, d), _dft, "f long, magnitude double")
 
 
@@ -394,6 +405,18 @@ def segmenter_batch(spark, d):
     return run.segment(injected(events(spark, d)), window_size=W, sample_size=None)
 
 
+@query()
+def segmenter_resampled(spark, d):
+    """The default test, on labels drawn with replacement."""
+    return run.segment(injected(events(spark, d)), window_size=W)
+
+
+@query()
+def segmenter_profile(spark, d):
+    """The merged profile that each series ends with."""
+    return run.merged_profile(injected(events(spark, d)), window_size=W, sample_size=None)
+
+
 @query()
 def segmenter_stream(spark, d):
     return run.replay_events(spark, f"{d}/events.parquet", window_size=W, p_value=1e-4, sample_size=None)

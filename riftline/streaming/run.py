@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pickle
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -55,6 +56,25 @@ def segment(series: DataFrame, **config) -> DataFrame:
     return in_order(series, start, CHANGE_POINTS)
 
 
+def merged_profile(series: DataFrame, **config) -> DataFrame:
+    """(series_id, split, score): the merged profile of the points that the segmenter holds at the end of a series."""
+
+    def start(_):
+        s = Segmenter(**config)
+
+        def update(t, v):
+            s.update(v)
+            return []
+
+        def finish():
+            s.flush()
+            return s.merged_profile()
+
+        return update, finish
+
+    return in_order(series, start, "series_id string, split long, score double")
+
+
 def detect(series: DataFrame, name: str, **config) -> DataFrame:
     """(series_id, cp, detected_at) of a classical detector."""
 
@@ -77,8 +97,8 @@ def segment_stream(points: DataFrame, latest_only: bool = False, **config) -> Da
     def run(key, frames, state):
         s = pickle.loads(state.get[0]) if state.exists else Segmenter(**config)
         found = []
-        for _, row in pd.concat(list(frames)).sort_values("at", kind="stable").iterrows():
-            new = s.update(row["value"])
+        for value in pd.concat(list(frames)).sort_values("at", kind="stable")["value"].tolist():
+            new = s.update(value)
             found += new[-1:] if latest_only else new
         state.update((pickle.dumps(s),))
         yield pd.DataFrame([(key[0], *r) for r in found], columns=["series_id", "cp", "score", "p", "detected_at"])
@@ -101,6 +121,10 @@ def replay_events(spark: SparkSession, path: str, checkpoint: str | None = None,
 
 
 def _shared(spark: SparkSession) -> str:
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="riftline-")).rstrip("/")
+    """The shared folder; in local mode, where one machine does all, a folder of its own if none is set."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="riftline-")
+    return folder.rstrip("/")

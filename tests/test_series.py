@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riftline.operators import evaluation, matrix, periods, profile
 from riftline.operators.detectors import DETECTORS
@@ -111,7 +112,7 @@ def test_segmenter_equals_plain_kernel(similarity):
     assert [c[0::3] for c in fast.change_points] == [c[0::3] for c in plain.change_points] and fast.change_points
     held = slice(fast.segment - fast.base, fast.n - fast.lag - fast.base)
     assert (fast.near[:, held] == plain.near[:, held]).all() and np.allclose(fast.dist[:, held], plain.dist[:, held], atol=1e-6)
-    assert fast.merged_profile() == pytest.approx(plain.merged_profile())
+    assert dict(fast.merged_profile()) == pytest.approx(dict(plain.merged_profile()))
 
 
 def test_sample_of_100_cannot_pass():
@@ -188,6 +189,26 @@ def test_stream_equals_batch_for_any_split(spark, tmp_path):
         assert spark.read.parquet(out).toPandas()[["cp", "detected_at"]].values.tolist() == batch[["cp", "detected_at"]].values.tolist()
 
 
+def test_split_at_the_edge_of_blocks(spark):
+    """Blocks overlap: a change at a multiple of d lies in the middle of one, and each split belongs to one block."""
+    points = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(two_regimes(2400))], "series_id string, t long, value double")
+    d = 1200
+    found = matrix.knn(points, 20, 3, d=d)
+    assert sorted(r["block"] for r in found.select("block").distinct().collect()) == [0, 1, 2]
+    conf = profile.owned(profile.confusion(profile.majority(found, 3), 20), points, d)
+    splits = conf.select((F.col("block") * (d // 2) + F.col("split")).alias("cp")).toPandas()["cp"]
+    assert splits.is_unique and splits.min() == 100 and splits.max() >= 2200
+    best = profile.best_split(profile.scored(conf)).orderBy(F.desc("score")).first()
+    assert best["block"] == 1 and abs(best["block"] * (d // 2) + best["split"] - 1200) < 40
+
+
+def test_critical_difference_of_many_methods(spark):
+    for k, q in ((2, 1.960), (10, 3.164), (14, 3.354)):
+        assert evaluation.nemenyi(k) == pytest.approx(q, abs=2e-3)
+    rows = spark.createDataFrame([(f"d{i}", f"m{j}", float(i * j % 7)) for i in range(5) for j in range(14)], "dataset string, method string, score double")
+    assert evaluation.critical_difference(rows).first()["k"] == 14
+
+
 def test_profile_by_events_equals_kernel(spark):
     x = two_regimes(600)
     points = spark.createDataFrame([("s", i, float(v)) for i, v in enumerate(x)], "series_id string, t long, value double")
