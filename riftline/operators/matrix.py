@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 D, W, K = 10_000, 20, 3
+#: Distances are compared in whole millionths, so that ties do not hang on the order of additions.
+MICRO = 1e6
 
 
 def blocks(series: DataFrame, d: int = D) -> DataFrame:
@@ -45,23 +47,23 @@ def knn_arrays(x: np.ndarray, w: int, k: int, similarity: str = "pearson", radiu
     steps = np.r_[0.0, np.diff(x) ** 2]
     ce = windows_of(steps, w).sum(1) + 1e-5
     near, dist = np.full((n, k), -1), np.full((n, k), np.inf)
-    for a in range(0, n, 256):
-        b = min(n, a + 256)
-        dot = win[a:b] @ win.T
+    z = (win - mu[:, None]) * (np.sqrt(2 * MICRO) / sd[:, None]) if similarity == "pearson" else win
+    for a in range(0, n, 128):
+        b = min(n, a + 128)
+        d = z[a:b] @ z.T
         if similarity == "pearson":
-            d = 2 * w * (1 - (dot - w * mu[a:b, None] * mu) / (w * sd[a:b, None] * sd))
+            np.subtract(2 * w * MICRO, d, out=d)
         else:
-            d = sq[a:b, None] + sq - 2 * dot
+            d = (sq[a:b, None] + sq - 2 * d) * MICRO
             if similarity == "cid":
                 d = d * np.maximum(ce[a:b, None], ce) / np.minimum(ce[a:b, None], ce)
-        i = np.arange(a, b)[:, None]
-        j = np.arange(n)
-        d = np.round(d, 6)
-        d[(j >= i - r) & (j < i + r)] = np.inf
+        np.rint(d, out=d)
+        for i in range(a, b):
+            d[i - a, max(0, i - r) : i + r] = np.inf
         rows = np.arange(b - a)
         for rank in range(min(k, n)):
             c = d.argmin(1)  # the first of equals
-            v = d[rows, c]
+            v = d[rows, c] / MICRO
             near[a:b, rank], dist[a:b, rank] = np.where(np.isfinite(v), c, -1), v
             d[rows, c] = np.inf
     return near, dist
