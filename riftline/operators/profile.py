@@ -75,9 +75,9 @@ def arcs(knn: DataFrame) -> DataFrame:
 def interpolated(profile: DataFrame, value: str) -> DataFrame:
     """Nulls replaced by the line between their neighbours; at the ends by the nearest value."""
     back = Window.partitionBy(*GROUP).orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
-    fwd = Window.partitionBy(*GROUP).orderBy("split").rowsBetween(0, Window.unboundedFollowing)
+    fwd = Window.partitionBy(*GROUP).orderBy(F.desc("split")).rowsBetween(Window.unboundedPreceding, 0)  # a frame that grows: one that shrinks is computed anew for each row
     known = F.when(F.col(value).isNotNull(), F.struct(F.col("split").alias("p"), F.col(value).alias("v")))
     a, b = F.col("_a"), F.col("_b")
     line = F.when(a["p"] == b["p"], a["v"]).otherwise(a["v"] + (b["v"] - a["v"]) * (F.col("split") - a["p"]) / (b["p"] - a["p"]))
-    out = profile.withColumn("_a", F.last(known, True).over(back)).withColumn("_b", F.first(known, True).over(fwd))
+    out = profile.withColumn("_a", F.last(known, True).over(back)).withColumn("_b", F.last(known, True).over(fwd))
     return out.withColumn("filled", F.coalesce(line, a["v"], b["v"])).drop("_a", "_b")

@@ -237,3 +237,18 @@ def test_entry_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and "best_split" in e.queries()
+
+
+def test_holes_are_filled_in_frames_that_grow(spark):
+    """Frames that end with the partition cost the square of a block."""
+    rs = np.random.RandomState(3)
+    want, rows = [], []
+    for block, n in ((0, 1), (1, 40), (2, 9)):
+        v = [float(x) if block < 2 and rs.rand() < 0.3 else None for x in rs.rand(n)]
+        rows += [("a", block, 5 + i, v[i]) for i in range(n)]
+        known = [i for i in range(n) if v[i] is not None]
+        want += [(block, 5 + i, float(np.interp(i, known, [v[j] for j in known])) if known else None) for i in range(n)]
+    out = profile.interpolated(spark.createDataFrame(rows, "series_id string, block long, split long, score double"), "score")
+    assert "unboundedfollowing" not in out._jdf.queryExecution().toString().lower()
+    got = {(r["block"], r["split"]): r["filled"] for r in out.collect()}
+    assert len(got) == len(want) and all(got[b, s] == (None if f is None else pytest.approx(f, abs=1e-12)) for b, s, f in want)
