@@ -26,10 +26,10 @@ def confusion(m: DataFrame, w: int) -> DataFrame:
     i, at = F.col("i"), F.col("m")
     event = lambda pos, tp, fp: F.struct(pos.alias("pos"), F.lit(tp).alias("tp"), F.lit(fp).alias("fp"))
     listed = F.array(event(F.greatest(i, at) + 1, 1, 0), F.when(at < i - w, event(at + 1, 0, 1)), F.when(at < i - w, event(i - w + 1, 0, -1)), event(i, 0, 0))
-    flat = m.select(*GROUP, F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("e")).groupBy(*GROUP, F.col("e.pos").alias("split")).agg(F.sum("e.tp").alias("tp"), F.sum("e.fp").alias("fp"))
+    flat = m.select(*GROUP, "i", F.explode(F.filter(listed, lambda x: x.isNotNull())).alias("e")).groupBy(*GROUP, F.col("e.pos").alias("split")).agg(F.sum("e.tp").alias("tp"), F.sum("e.fp").alias("fp"), F.max("i").alias("i"))
     run = Window.partitionBy(*GROUP).orderBy("split").rowsBetween(Window.unboundedPreceding, 0)
-    n = m.groupBy(*GROUP).agg((F.max("i") + 1).alias("n"))
-    summed = flat.select(*GROUP, "split", F.sum("tp").over(run).alias("tp"), F.sum("fp").over(run).alias("fp")).join(n, GROUP)
+    n = F.max("i").over(Window.partitionBy(*GROUP)) + 1  # not by a join, for which neighbours would be sought twice
+    summed = flat.select(*GROUP, "split", F.sum("tp").over(run).alias("tp"), F.sum("fp").over(run).alias("fp"), n.alias("n"))
     out = summed.where((F.col("split") >= 5 * w) & (F.col("split") < F.col("n") - 5 * w))
     return out.select(*GROUP, "split", "n", "tp", "fp", (F.col("split") - F.col("tp")).alias("fn"), (F.col("n") - F.col("split") - w - F.col("fp")).alias("tn"))
 
