@@ -1,6 +1,7 @@
-"""License scans: every place of a text that has the wording of a template, but for a few words, is confirmed, across line breaks and
-comment marks. Cues outside such places are candidates by conditional compression: a block around them is compressed with each template
-as raw zstandard dictionary, and the template that shrinks it most is named, with the exact wording differences."""
+"""License scans by conditional compression: windows over the words of the whole text, across line breaks and comment marks, are compressed
+with each template as raw zstandard dictionary. A template that shrinks a window is a candidate there, and is confirmed at a place if the exact
+wording differs in a few words only; of candidates that meet, that which saves most bytes of its place is named. A block around cues outside
+such places is compressed alike, and the template that shrinks it most is named, with the exact wording differences."""
 
 from __future__ import annotations
 
@@ -44,12 +45,15 @@ _CONTEXT = 96
 class Scanner:
     def __init__(self, templates=TEMPLATES):
         self.plain = zstandard.ZstdCompressor(level=9, write_content_size=False)
-        self.templates = [
-            (name, _WORD.findall(text.lower()), zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
-            for name, texts in templates.items() for text in texts
-        ]
-
+        self.templates = []
+        for name, texts in templates.items():
+            for text in texts:
+                words = _WORD.findall(text.lower())
+                raw = zstandard.ZstdCompressionDict(_bytes(words), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                self.templates.append((name, words, zstandard.ZstdCompressor(level=9, write_content_size=False, dict_data=raw)))
         self.seeds = [self._seeds(words) for _, words, _ in self.templates]
+        #: Words of the longest place. Windows are twice as long and overlap by half, so each place lies within one.
+        self.reach = max(len(words) + int(MOST_CHANGED * len(words)) for _, words, _ in self.templates)
 
     @staticmethod
     def _seeds(words: list[str]) -> list[tuple[int, str]]:
@@ -58,14 +62,16 @@ class Scanner:
         cuts = [len(words) * k // parts for k in range(parts + 1)]
         return [(a, f" {' '.join(words[a:b])} ") for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def saved(self, block: str, i: int) -> float:
-        """Share of the compressed size of a block that a template saves."""
-        data = block.lower().encode("utf-8", "replace")
-        return 1 - len(self.templates[i][2].compress(data)) / len(self.plain.compress(data))
+    def saved(self, words: list[str], i: int) -> tuple[int, float]:
+        """Bytes of the compressed words that a template saves, and their share."""
+        data = _bytes(words)
+        alone = len(self.plain.compress(data))
+        less = alone - len(self.templates[i][2].compress(data))
+        return less, less / alone
 
-    def rank(self, block: str) -> list[tuple[float, int]]:
+    def rank(self, words: list[str]) -> list[tuple[float, int]]:
         """(share of the compressed size that a template saves, template), best first."""
-        data = block.lower().encode("utf-8", "replace")
+        data = _bytes(words)
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, -i) for i, (_, _, c) in enumerate(self.templates)), reverse=True)
 
@@ -80,32 +86,39 @@ class Scanner:
         changed = [(" ".join(want[a:b]), " ".join(have[c:d]), max(b - a, d - c)) for op, a, b, c, d in ops if op != "equal"]
         return [f"[{x}] -> [{y}]" for x, y, _ in changed], sum(n for _, _, n in changed), ops[0][3], ops[-1][4]
 
-    def places(self, words: list[str]) -> list[tuple[int, int, int, list[str]]]:
-        """(first word, end, template, differences) of all confirmed places. Of places that overlap, that with most words less two a change stays."""
+    def places(self, words: list[str]) -> list[tuple[int, int, int, float, list[str]]]:
+        """(first word, end, template, share saved, differences) of all confirmed places of templates that shrink a window. Of places that overlap, that whose template saves most bytes of it stays, then that with fewer changes."""
         joined = f" {' '.join(words)} "
         starts = [0, *accumulate(len(w) + 1 for w in words)]
-        found = set()
-        for i, (_, want, _) in enumerate(self.templates):
+        begins: dict[int, set[int]] = {}
+        for a in range(0, max(1, len(words) - self.reach), self.reach):
+            b = min(len(words), a + 2 * self.reach)
+            for share, i in self.rank(words[a:b]):
+                if share <= 0:
+                    break
+                for offset, seed in self.seeds[-i]:
+                    p = joined.find(seed, starts[a], starts[b] + 1)
+                    while p >= 0:
+                        begins.setdefault(-i, set()).add(bisect_left(starts, p) - offset)
+                        p = joined.find(seed, p + 1, starts[b] + 1)
+        found = {}
+        for i, at in begins.items():
+            want = self.templates[i][1]
             n, most = len(want), int(MOST_CHANGED * len(want))
-            begins = set()
-            for offset, seed in self.seeds[i]:
-                p = joined.find(seed)
-                while p >= 0:
-                    begins.add(bisect_left(starts, p) - offset)
-                    p = joined.find(seed, p + 1)
-            for begin in begins:
+            for begin in at:
                 if begin >= 0 and words[begin : begin + n] == want:
-                    found.add((-n, begin, begin + n, i, ()))
+                    found[begin, begin + n, i] = 0, []
                 elif most:
                     low = max(0, begin - most)
                     diffs, changed, a, b = self.differences(words[low : begin + n + most], i)
                     if changed <= most:
-                        found.add((2 * changed - n, low + a, low + b, i, tuple(diffs)))
-        taken: list[tuple[int, int, int, list[str]]] = []
-        for _, a, b, i, diffs in sorted(found, key=lambda x: (x[0], x[1], x[3])):
+                        found[low + a, low + b, i] = changed, diffs
+        ranked = sorted((-less, changed, a, i, b, share, diffs) for (a, b, i), (changed, diffs) in found.items() for less, share in [self.saved(words[a:b], i)])
+        taken: list[tuple[int, int, int, float, list[str]]] = []
+        for _, _, a, i, b, share, diffs in ranked:
             k = bisect_left(taken, (a,))
             if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
-                taken.insert(k, (a, b, i, list(diffs)))
+                taken.insert(k, (a, b, i, share, diffs))
         return taken
 
     def scan(self, text: str | None):
@@ -118,8 +131,8 @@ class Scanner:
         breaks = [m.start() for m in re.finditer("\n", text)]
         spans = [m.span() for m in _WORD.finditer(text)]
         places = self.places([text[a:b].lower() for a, b in spans])
-        taken = [(spans[a][0], spans[b - 1][1]) for a, b, _, _ in places]
-        rows = [(a, self.templates[i][0], self.saved(_folded(text[a:b]), i), True, diffs) for (a, b), (_, _, i, diffs) in zip(taken, places, strict=True)]
+        taken = [(spans[a][0], spans[b - 1][1]) for a, b, *_ in places]
+        rows = [(a, self.templates[i][0], share, True, diffs) for (a, _), (_, _, i, share, diffs) in zip(taken, places, strict=True)]
         blocks: list[list[int]] = []  # begin, end, first cue, its line, the place before it
         for m in CUE.finditer(text):
             k = bisect_right(taken, (m.start(), len(text)))
@@ -132,20 +145,16 @@ class Scanner:
             else:
                 blocks.append([max(taken[k - 1][1] if k else 0, m.start() - _CONTEXT), b, m.start(), line, k])
         for a, b, first, _, _ in blocks:
-            block = _folded(text[a:b])
-            best, have = None, _WORD.findall(block.lower())
-            for saved, i in self.rank(block):
-                diffs, n, _, _ = self.differences(have, -i)
-                if best is None or n < best[4]:
-                    best = (self.templates[-i][0], saved, n <= MOST_CHANGED * len(self.templates[-i][1]), diffs, n)
-            rows.append((first, *best[:4]))
+            have = _WORD.findall(text[a:b].lower())
+            share, i = self.rank(have)[0]
+            diffs, n, _, _ = self.differences(have, -i)
+            rows.append((first, self.templates[-i][0], share, n <= MOST_CHANGED * len(self.templates[-i][1]), diffs))
         for at, *row in sorted(rows, key=lambda r: r[0]):
             yield bisect_left(breaks, at), *row
 
 
-def _folded(block: str) -> str:
-    """White space, and comment marks that begin a line, as one space."""
-    return re.sub(rf"\s*\n{_GAP}|\s+", " ", block)
+def _bytes(words: list[str]) -> bytes:
+    return " ".join(words).encode("utf-8", "replace")
 
 
 SCHEMA = "line long, license string, reduction double, confirmed boolean, differences array<string>"

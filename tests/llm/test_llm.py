@@ -353,6 +353,29 @@ def test_licenses_over_lines_and_side_by_side():
     assert found(both + " Other license text. " + mit.replace("copy, modify", "copy, alter") + " " + both) == [("Apache-2.0", True), ("MIT", True), found("Other license text. ")[0], ("MIT", True), ("Apache-2.0", True), ("MIT", True)]
 
 
+def test_licenses_are_candidates_by_compression(monkeypatch):
+    scanner, rnd = licenses.Scanner(), random.Random(4)
+    found = lambda text: [(r[1], r[3]) for r in scanner.scan(text)]
+    assert found("Note: you can redistribute it and/or modify it under the terms") == [("GPL-3.0", False)]
+    assert found("This work is licensed under the GNU Lesser General Public License, version 2.") == [("LGPL-3.0", True)]
+    texts = []
+    for _ in range(40):
+        words = []
+        for _ in range(rnd.randrange(1, 9)):
+            words += [rnd.choice(("license", "prose", "of", "the", "software")) + rnd.choice(("", str(rnd.randrange(90)))) for _ in range(rnd.randrange(60))]
+            notice = list(rnd.choice(scanner.templates)[1])
+            for _ in range(rnd.randrange(len(notice) // 10 + 1)):
+                notice[rnd.randrange(len(notice))] = f"other{rnd.randrange(9)}"
+            words += notice
+        texts.append(words)
+    got, rank = [scanner.places(words) for words in texts], scanner.rank
+    assert sum(map(len, got)) > 100
+    monkeypatch.setattr(scanner, "rank", lambda words: [(1.0, i) for _, i in rank(words)])  # any template is a candidate
+    assert [scanner.places(words) for words in texts] == got
+    monkeypatch.setattr(scanner, "rank", lambda words: [(0.0, i) for _, i in rank(words)])  # none is
+    assert not any(scanner.places(words) for words in texts)
+
+
 def test_pii(spark, odd):
     text = "Mail anna.smith@example.com or James Miller, call +1 (663) 555-6869, card 4465758382889437, ip 10.20.30.40, token 04dbebab91ab85687d33eeaaf9ac699e1188f962. Again anna.smith@example.com! Version 2.0 of 1999."
     rows = [(1, text, "en", "a"), (2, "Иван Петров; anna.smith@example.com", "ru", "a"), (3, None, None, None), (4, "nothing here", None, None)]
