@@ -88,23 +88,40 @@ class Index:
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.rows, self.starts = [], []
+        self.words = _words(codes)
+        self.rows, self.starts, self.keys, self.bucket = [], [], [], []
         for s in codes.T:
             self.rows.append(np.argsort(s, kind="stable"))
             self.starts.append(np.searchsorted(s[self.rows[-1]], np.arange((1 << SUBSTRING) + 1)))
+            keys, bucket = np.unique(s, return_inverse=True)
+            self.keys.append(keys)
+            self.bucket.append(bucket.ravel())
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """The places of all codes within the radius."""
+        """The places of all codes within the radius. Where the masks outnumber the buckets that hold a code, those buckets are gone through in their place."""
         hit = np.zeros(len(self.codes), bool)
-        flips = _flips(min(SUBSTRING, radius // len(code)))
-        for value, rows, starts in zip(code, self.rows, self.starts, strict=True):
+        most = min(SUBSTRING, radius // len(code))
+        flips = _flips(most)
+        for value, rows, starts, keys, bucket in zip(code, self.rows, self.starts, self.keys, self.bucket, strict=True):
+            if 4 * len(flips) > len(keys):
+                hit |= (np.bitwise_count(keys ^ value) <= most).take(bucket)
+                continue
             probe = flips ^ value
             lo = starts[probe]
             n = starts[probe.astype(np.int64) + 1] - lo
             ends = np.cumsum(n)
             hit[rows[np.arange(ends[-1]) + np.repeat(lo - ends + n, n)]] = True
         at = np.flatnonzero(hit)
-        return at[hamming(self.codes[at], code) <= radius]
+        apart = np.zeros(len(at), np.uint8)
+        for held, word in zip(self.words, _words(code[None]), strict=True):
+            apart += np.bitwise_count(held.take(at) ^ word)
+        return at[apart <= radius]
+
+
+def _words(codes: np.ndarray) -> list[np.ndarray]:
+    """Columns of codes, as many substrings together as fill a machine word."""
+    size = next(k for k in (4, 2, 1) if codes.shape[1] % k == 0)
+    return list(np.ascontiguousarray(np.ascontiguousarray(codes).view(f"u{2 * size}").T))
 
 
 _FLIPS: dict[int, np.ndarray] = {}
@@ -148,7 +165,7 @@ def _search(asked: DataFrame, vectors: DataFrame, dim: int, n: int, top: int, sa
     index = vectors.withColumn("i", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("role", F.lit(0))
     asked = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("role", F.lit(1))
 
-    def find(ids, x, built, ask_ids, y, coded) -> list[tuple[int, int, float]]:
+    def find(ids, x, single, built, ask_ids, y, coded) -> list[tuple[int, int, float]]:
         found = []
         for q, v, c in zip(ask_ids, y, coded, strict=True):
             radius, want = codes.value.radius, min(top, len(ids) - int((ids == q).any()))
@@ -158,6 +175,9 @@ def _search(asked: DataFrame, vectors: DataFrame, dim: int, n: int, top: int, sa
                 if len(at) >= want or radius >= codes.value.bits:
                     break
                 radius = min(codes.value.bits, 2 * radius)
+            if len(at) > top:  # products in single precision leave out what is not among the top by more than their error
+                rough = single.take(at, 0) @ v.astype(np.float32)
+                at = at[rough >= np.partition(rough, -top)[-top] - (dim + 4) * 2.0**-21]
             score = (x[at] * v).sum(1)
             for k in np.lexsort((ids[at], -score))[:top]:
                 found.append((q, int(ids[at][k]), float(score[k])))
@@ -181,8 +201,8 @@ def _search(asked: DataFrame, vectors: DataFrame, dim: int, n: int, top: int, sa
                     if built is None:
                         all_ids, rows = np.concatenate(ids), np.concatenate(held)
                         held = []
-                        built = Index(codes.value.encode(rows))
-                    found += find(all_ids, rows, built, own.tolist(), x, codes.value.encode(x))
+                        single, built = rows.astype(np.float32), Index(codes.value.encode(rows))
+                    found += find(all_ids, rows, single, built, own.tolist(), x, codes.value.encode(x))
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in found], t) for c, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.float64()))], names=["query_id", "vec_id", "score"])
 
     columns = ["i", "role", "id", "vec"]

@@ -331,6 +331,21 @@ def test_quality(spark, odd):
     assert quality.grade(odd, quality.train(d, rated.limit(0), 3)).count() == odd.count()
 
 
+def test_index_goes_through_the_buckets_that_hold_codes():
+    rs = np.random.RandomState(8)
+    codes = rs.randint(0, 1 << 16, (3000, 8)).astype(np.uint16)
+    codes[1::2] = codes[::2] ^ (np.uint16(1) << rs.randint(0, 16, (1500, 8)).astype(np.uint16))
+    for m in (8, 3, 1):
+        part = np.ascontiguousarray(codes[:, :m])
+        index = ann.Index(part)
+        for radius in (0, m, 3 * m + 1, 55 * m // 8, 16 * m):
+            for c in part[:9]:
+                assert index.within(c, radius).tolist() == np.flatnonzero(ann.hamming(part, c) <= radius).tolist()
+    index = ann.Index(codes)
+    index.starts = [[]] * 8  # masks that outnumber the buckets are not looked up one by one
+    assert len(index.within(codes[0], 55)) == (ann.hamming(codes, codes[0]) <= 55).sum()
+
+
 def test_licenses(spark):
     text = "Some prose.\nLicensed under the Apache License, Version 2.0.\nThis work is licensed under the GNU General Public License, version 9.\nlicense of all sorts"
     rows = licenses.scan(docs(spark, [(1, text, None, None), (2, None, None, None), (3, "", None, None)])).orderBy("line").collect()
